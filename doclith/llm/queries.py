@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclith.llm import jaccard, mixing, quality_rules, ranker, tiling, url_filter, warc
+from doclith.llm import jaccard, mixing, pii, quality_rules, ranker, tiling, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranker.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filter": op2_url_filter,
         "op3_quality_ranking": op3_quality_ranking,
+        "op5_private_data": op5_private_data,
         "op6_warc": op6_warc,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_decontaminate": op8_decontaminate,
