@@ -9,8 +9,9 @@ Equal sets are one class from the start. What is asked for is the classes' compo
 in a bucket (the classes with a given prefix shingle) all are first compared with one pivot, and pairs that are
 already connected need no comparison. Only pairs of a bucket that are still apart after PIVOT_ROUNDS are compared all.
 
-The order's frequencies are counted over the whole table, in SECTIONS of the shingle hash; any fixed order is right,
-and this one puts the frequent shingles last. Words and shingles are compared by 64-bit hashes, classes by 128 bits.
+Frequencies are counted over the whole table, of shingles and of words, in 2**SECTION_BITS sections of their hashes. A
+shingle's rank is first how far its section is above the mean, as one that many documents share is, and then the product
+of its words' frequencies. Any fixed order is right; one nearer to the true frequencies makes fewer pairs. Words and shingles are compared by 64-bit hashes, classes by 128 bits.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null and blank texts have no shingles and link with
 nothing, themselves included; null ids take part, and a component of null ids alone has a null id; repeated rows are
@@ -31,16 +32,33 @@ from doclith.llm.components import components
 from doclith.llm.shared import cut, keep
 from doclith.llm.tokens import U, Words, chunks, lists, mix
 
-SECTION_BITS = 17
-SUFFIX_SECTIONS = 32
+SECTION_BITS = 18
+SUFFIX_BITS = 7  # sections of the hash range whose counts the suffix filter compares
 PIVOT_ROUNDS = 3
 
 
-def _sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct shingles in order of their hashes, and the bounds of the texts."""
+def _section(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U(64 - SECTION_BITS)).astype(np.int64)
+
+
+def _ranks(seen: np.ndarray) -> np.ndarray:
+    """Of sections, words' first and shingles' then: 16 * log2 of a word section's count, and steps of 2**12 for each
+    doubling of a shingle section's count beyond twice the mean."""
+    words, shingles = np.split(seen.astype(float), 2)
+    return np.concatenate([16 * np.log2(words + 1), np.floor(np.log2(1 + shingles / (2 * shingles.mean() + 1))) * 4096]).astype(np.int32)
+
+
+def _sets(w: Words, k: int, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingles, in order of their hashes or of ranks and then their hashes, and the texts' bounds."""
     grams, at = w.grams(k)
     text = np.searchsorted(w.bounds, at, "right") - 1
     count = np.diff(w.bounds)
+    rank = np.zeros(len(grams), np.int32)
+    if ranks is not None:
+        each = ranks[_section(w.hashes)]
+        for j in range(k):
+            rank += each[at + j]
+        rank += ranks[_section(grams) + (1 << SECTION_BITS)]
     short = np.flatnonzero((count > 0) & (count < k))
     if len(short):
         few = np.zeros(len(short), U)
@@ -49,7 +67,8 @@ def _sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
             few[has] += w.hashes[w.bounds[short][has] + j] * U(2 * j + 3)
         grams = np.concatenate([grams, mix(few + count[short].astype(U))])
         text = np.concatenate([text, short])
-    order = np.lexsort((grams, text))
+        rank = np.concatenate([rank, np.zeros(len(short), np.int32)])
+    order = np.lexsort((grams, rank, text))
     grams, text = grams[order], text[order]
     fresh = np.ones(len(grams), bool)
     fresh[1:] = (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])
@@ -74,15 +93,15 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _describe(k: int):
-    """Rows of documents (key, n, s1, s2, row), then of sections (section, n): how often their shingles occur."""
+    """Rows of documents (key, n, s1, s2, row), then of sections (section, n): how often their words and shingles occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, seen = ["key", "n", "s1", "s2", "row", "section"], np.zeros(1 << SECTION_BITS, np.int64)
+        names, seen = ["key", "n", "s1", "s2", "row", "section"], np.zeros(2 << SECTION_BITS, np.int64)
         for batch in batches:
             for a, b, w in chunks(batch.column(1)):
                 keys = batch.column(0).slice(a, b - a)
                 grams, bounds = _sets(w, k)
-                seen += np.bincount((grams >> U(64 - SECTION_BITS)).astype(np.int64), minlength=len(seen))
+                seen += np.bincount(np.concatenate([_section(w.hashes), _section(grams) + (1 << SECTION_BITS)]), minlength=len(seen))
                 s1, s2, row = _identity(grams, bounds, keys)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(bounds)), _long(s1), _long(s2), _long(row), pa.nulls(b - a, pa.int32())], names)
         used = np.flatnonzero(seen)
@@ -92,17 +111,16 @@ def _describe(k: int):
     return run
 
 
-def _prefixes(k: int, percent: int, seen: np.ndarray):
-    """row, n and the prefix of each document: the first shingles in order of frequency, then hash."""
+def _prefixes(k: int, percent: int, ranks: np.ndarray):
+    """row, n and the prefix of each document: its first shingles, rare ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, w in chunks(batch.column(1)):
-                grams, bounds = _sets(w, k)
+                grams, bounds = _sets(w, k, ranks)
                 _, _, row = _identity(grams, bounds, batch.column(0).slice(a, b - a))
                 n = np.diff(bounds)
                 text = np.repeat(np.arange(len(n)), n)
-                grams = grams[np.lexsort((grams, seen[grams >> U(64 - SECTION_BITS)], text))]
                 length = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 inside = np.arange(len(grams)) - bounds[text] < length[text]
                 yield pa.RecordBatch.from_arrays([_long(row), pa.array(n), lists(grams[inside], np.concatenate([[0], np.cumsum(length)]))], ["row", "n", "prefix"])
@@ -123,9 +141,9 @@ def _whole_sets(k: int, rows: np.ndarray):
                     if not len(part):
                         continue
                     sets = [grams[bounds[i] : bounds[i + 1]] for i in part]
-                    spread = [np.bincount((s >> U(59)).astype(np.int64), minlength=SUFFIX_SECTIONS) for s in sets]
+                    spread = [np.bincount((s >> U(64 - SUFFIX_BITS)).astype(np.int64), minlength=1 << SUFFIX_BITS) for s in sets]
                     ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-                    counts = pa.ListArray.from_arrays(pa.array((np.arange(len(part) + 1) * SUFFIX_SECTIONS).astype(np.int32)), pa.array(np.concatenate(spread).astype(np.int32)))
+                    counts = pa.ListArray.from_arrays(pa.array(((np.arange(len(part) + 1) << SUFFIX_BITS)).astype(np.int32)), pa.array(np.concatenate(spread).astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([_long(row[part]), lists(np.concatenate(sets), ends), counts], ["row", "shingles", "spread"])
 
     return run
@@ -142,22 +160,31 @@ def _may_link(percent: int, x: str = "", y: str = "o_") -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (1 + F.least(n - i, m - j) >= _least(percent, n, m))
 
 
+def _spread_alike(percent: int, p: str, q: str) -> Column:
+    """Suffix filter: sets share no more than the lesser counts of each section of the hash range allow."""
+    shared = F.aggregate(F.zip_with(p, q, lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    size = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x)
+    return shared >= _least(percent, size(p), size(q))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v of the pairs (u, v) that link. The suffix filter compares the sets' spread before the sets."""
-    a = sets.select(F.col("row").alias("u"), F.col("shingles").alias("s"), F.col("spread").alias("p"))
-    b = sets.select(F.col("row").alias("v"), F.col("shingles").alias("t"), F.col("spread").alias("q"))
+    """u, v of the pairs (u, v) that link. Sets of other rows are left out before the joins: of v there may be few."""
+    side = lambda c: members.filtered(sets, "row", members.collect(pairs, c)).dropDuplicates(["row"])
+    a = side("u").select(F.col("row").alias("u"), F.col("shingles").alias("s"), F.col("spread").alias("p"))
+    b = side("v").select(F.col("row").alias("v"), F.col("shingles").alias("t"), F.col("spread").alias("q"))
     both = pairs.join(a, "u").join(b, "v")
-    least = _least(percent, F.size("s"), F.size("t"))
-    shared = F.aggregate(F.zip_with("p", "q", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
-    links = F.when(shared >= least, F.size(F.array_intersect("s", "t")) >= least).otherwise(False)
+    links = F.when(_spread_alike(percent, "p", "q"), F.size(F.array_intersect("s", "t")) >= _least(percent, F.size("s"), F.size("t"))).otherwise(False)
     return both.where(links).select("u", "v")
 
 
-def _met(apart: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of entries that share a token with one of the others, aren't connected and may link."""
-    others = others.select(F.col("token").alias("_token"), *(F.col(c).alias(f"o_{c}") for c in ("row", "n", "pos", "label")))
-    met = apart.join(others, (F.col("token") == F.col("_token")) & (F.col("label") != F.col("o_label")) & _may_link(percent))
-    return met.select(F.least("row", "o_row").alias("u"), F.greatest("row", "o_row").alias("v")).distinct()
+def _met(apart: DataFrame, others: DataFrame, percent: int, spread: bool = False) -> DataFrame:
+    """Pairs (u, v) of entries that share a token with one of the others, v, aren't connected and may link."""
+    others = others.select(F.col("token").alias("_token"), *(F.col(c).alias(f"o_{c}") for c in ("row", "n", "pos", "label", *["spread"] * spread)))
+    may = (F.col("label") != F.col("o_label")) & _may_link(percent)
+    if spread:
+        may = (F.col("row") < F.col("o_row")) & may & _spread_alike(percent, "spread", "o_spread")
+    met = apart.join(others, (F.col("token") == F.col("_token")) & may)
+    return met.select(F.col("row").alias("u"), F.col("o_row").alias("v")).distinct()
 
 
 def _links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,10 +198,15 @@ def _links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if turn < PIVOT_ROUNDS:
             pairs = _met(apart, buckets.select("token", "_p.row", "_p.n", F.col("_p.at").alias("pos"), "_p.label"), percent)
         else:
-            mixed = cut(apart.join(buckets.select(F.col("token").alias("_in")), F.col("token") == F.col("_in"), "left_semi"))
-            pairs = _met(mixed, mixed, percent)
-        pairs = keep(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "jaccard-pairs")
-        done = pairs if done is None else done.union(pairs)
+            mixed = apart.join(buckets.select(F.col("token").alias("_in")), F.col("token") == F.col("_in"), "left_semi")
+            spread = members.filtered(sets, "row", members.collect(mixed, "row")).select(F.col("row").alias("_of"), "spread").dropDuplicates(["_of"])
+            mixed = keep(mixed.join(spread, F.col("row") == F.col("_of")).drop("_of"), "jaccard-mixed")
+            pairs = _met(mixed, mixed, percent, spread=True)
+        if done is not None:
+            pairs = pairs.join(done, (F.least("u", "v") == F.col("_a")) & (F.greatest("u", "v") == F.col("_b")), "left_anti")
+        pairs = keep(pairs, "jaccard-pairs")
+        both = pairs.select(F.least("u", "v").alias("_a"), F.greatest("u", "v").alias("_b"))
+        done = both if done is None else done.union(both)
         more = keep(_verified(pairs, sets, percent), "jaccard-links")
         found = more if found is None else found.union(more)
         if turn < PIVOT_ROUNDS and not more.isEmpty():
@@ -183,6 +215,14 @@ def _links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found
 
 
+def _shared(entries: DataFrame, percent: int) -> DataFrame:
+    """The entries whose token another one has, and that can still link with the smallest set that has it."""
+    bucket = entries.groupBy(F.col("token").alias("_token")).agg(F.count(F.lit(1)).alias("_m"), F.min("n").alias("_n")).where("_m > 1")
+    partner = F.greatest(F.col("_n"), F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9))
+    may = (F.col("token") == F.col("_token")) & (1 + F.col("n") - F.col("pos") >= _least(percent, F.col("n"), partner))
+    return entries.join(bucket, may).drop("_token", "_m", "_n")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
     """key, n_shingles, component_id, class_row, row of every document.
 
@@ -191,17 +231,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3
     """
     plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     told = keep(plain.mapInArrow(_describe(k), "key long, n long, s1 long, s2 long, row long, section int"), "jaccard-sets")
-    seen = np.zeros(1 << SECTION_BITS, np.int64)
+    seen = np.zeros(2 << SECTION_BITS, np.int64)
     by_section = told.where("section IS NOT NULL").groupBy("section").agg(F.sum("n").alias("n")).toPandas()  # as many rows as sections
     seen[by_section["section"].to_numpy(int)] = by_section["n"].to_numpy(np.int64)
     rows = told.where("section IS NULL").drop("section")
     kinds = keep(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("key", "row")).alias("_m"), F.min("key").alias("first")).select("s1", "s2", "n", F.col("_m.row").alias("node"), "first"), "jaccard-classes")
-    prefixes = plain.mapInArrow(_prefixes(k, percent, seen), "row long, n long, prefix array<long>")
-    entries = prefixes.join(kinds.select(F.col("node").alias("_node")), F.col("row") == F.col("_node"), "left_semi").select("row", "n", F.posexplode("prefix").alias("at", "token")).select("token", "row", "n", (F.col("at") + 1).alias("pos"))
+    prefixes = plain.mapInArrow(_prefixes(k, percent, _ranks(seen)), "row long, n long, prefix array<long>")
+    entries = prefixes.join(kinds.select(F.col("node").alias("_node")), F.col("row") == F.col("_node"), "left_semi").select("row", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token")).select("token", "row", "n", (F.col("at") + 1).alias("pos"))
     entries = keep(entries, "jaccard-prefixes")
-    shared = entries.groupBy("token").agg(F.min("row").alias("_low"), F.max("row").alias("_high")).where("_low < _high").select(F.col("token").alias("_token"))
-    entries = keep(entries.join(shared, F.col("token") == F.col("_token"), "left_semi").distinct(), "jaccard-entries")
-    sets = keep(plain.mapInArrow(_whole_sets(k, members.collect(entries, "row")), "row long, shingles array<long>, spread array<int>").join(entries.select(F.col("row").alias("_row")).distinct(), F.col("row") == F.col("_row"), "left_semi").dropDuplicates(["row"]), "jaccard-wholes")
+    entries = keep(_shared(keep(_shared(entries, percent), "jaccard-shared"), percent).distinct(), "jaccard-entries")
+    sets = keep(plain.mapInArrow(_whole_sets(k, members.collect(entries, "row")), "row long, shingles array<long>, spread array<int>"), "jaccard-wholes")
     label = components(_links(entries, sets, percent)).select(F.col("node").alias("_node"), "component")
     named = kinds.join(label, F.col("node") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))

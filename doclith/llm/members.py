@@ -7,6 +7,7 @@ fixed size. A full set lets everything pass: then the join alone does the work.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +29,9 @@ def may_hold(words: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     numbers = numbers.view(np.uint64)
     low = numbers & np.uint64(len(words) * 64 - 1)
     return (words[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1
+
+
+def filtered(df: DataFrame, column: str, words: np.ndarray) -> DataFrame:
+    """The rows whose number can be in the set. Only that column goes through Python."""
+    inside = F.pandas_udf(lambda x: pd.Series(may_hold(words, x.to_numpy(np.int64))), "boolean")
+    return df.where(inside(F.col(column)))
