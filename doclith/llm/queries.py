@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclith.llm import jaccard, mixing, pii, quality_rules, ranker, tiling, url_filter, warc
+from doclith.llm import jaccard, mixing, pii, pseudo_likelihood, quality_rules, ranker, tiling, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudo_likelihood.score(docs, pseudo_likelihood.fit(docs))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -48,6 +53,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pseudo_likelihood": op1_pseudo_likelihood,
         "op2_url_filter": op2_url_filter,
         "op3_quality_ranking": op3_quality_ranking,
         "op5_private_data": op5_private_data,
