@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclith.llm import jaccard, mixing, pii, pseudo_likelihood, quality_rules, ranker, tiling, url_filter, warc
+from doclith.llm import jaccard, license_scan, mixing, pii, pseudo_likelihood, quality_rules, ranker, tiling, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranker.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pseudo_likelihood": op1_pseudo_likelihood,
         "op2_url_filter": op2_url_filter,
         "op3_quality_ranking": op3_quality_ranking,
+        "op4_license_scan": op4_license_scan,
         "op5_private_data": op5_private_data,
         "op6_warc": op6_warc,
         "op7_ngram_jaccard": op7_ngram_jaccard,
