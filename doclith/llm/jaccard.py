@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doclith.llm import members
 from doclith.llm.components import components
@@ -224,10 +225,10 @@ def _shared(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
-    """key, n_shingles, component_id, class_row, row of every document.
+    """key, n_shingles, component_id, row, kept_row of every document.
 
-    component_id is the smallest key of the component; documents with equal sets have one class_row; row is a hash of
-    set and key, so that the smallest row of a component is one of its documents.
+    component_id is the smallest key of the component; row is a hash of set and key, and kept_row that of the row with
+    the component's smallest key.
     """
     plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     told = keep(plain.mapInArrow(_describe(k), "key long, n long, s1 long, s2 long, row long, section int"), "jaccard-sets")
@@ -235,7 +236,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3
     by_section = told.where("section IS NOT NULL").groupBy("section").agg(F.sum("n").alias("n")).toPandas()  # as many rows as sections
     seen[by_section["section"].to_numpy(int)] = by_section["n"].to_numpy(np.int64)
     rows = told.where("section IS NULL").drop("section")
-    kinds = keep(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("key", "row")).alias("_m"), F.min("key").alias("first")).select("s1", "s2", "n", F.col("_m.row").alias("node"), "first"), "jaccard-classes")
+    kinds = keep(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct(F.col("key").isNull().alias("z"), "key", "row")).alias("_m"), F.min("key").alias("first")).select("s1", "s2", "n", F.col("_m.row").alias("node"), "first"), "jaccard-classes")
     prefixes = plain.mapInArrow(_prefixes(k, percent, _ranks(seen)), "row long, n long, prefix array<long>")
     entries = prefixes.join(kinds.select(F.col("node").alias("_node")), F.col("row") == F.col("_node"), "left_semi").select("row", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token")).select("token", "row", "n", (F.col("at") + 1).alias("pos"))
     entries = keep(entries, "jaccard-prefixes")
@@ -243,7 +244,37 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3
     sets = keep(plain.mapInArrow(_whole_sets(k, members.collect(entries, "row")), "row long, shingles array<long>, spread array<int>"), "jaccard-wholes")
     label = components(_links(entries, sets, percent)).select(F.col("node").alias("_node"), "component")
     named = kinds.join(label, F.col("node") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("s1", "s2", "n", "node", "component_id", "component")
+    order = F.struct(F.col("first").isNull().alias("z"), "first", "node")
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"), F.min(order)["node"].alias("kept_row"))
+    named = named.join(least, "component").select("s1", "s2", "n", "component_id", "kept_row")
     out = rows.join(named, ["s1", "s2", "n"], "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"), F.col("node").alias("class_row"), "row")
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"), "row", F.when(F.col("n") > 0, F.col("kept_row")).otherwise(F.col("row")).alias("kept_row"))
+
+
+def _tagged(k: int, key: int, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, w in chunks(batch.column(text)):
+                part = batch.slice(a, b - a)
+                _, _, row = _identity(*_sets(w, k), part.column(key).cast(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, _long(row), pa.array(np.diff(w.bounds) > 0)], [*part.schema.names, "_row", "_worded"])
+
+    return run
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
+    """The input with one row of each component, that of the smallest key; of rows that are equal in key and set, one.
+
+    Texts are moved only where a row is there more than once.
+    """
+    found = keep(classes(docs, key, text, k, percent).where("n_shingles > 0"), "jaccard-found")
+    gone = keep(found.where("row != kept_row").select(F.col("row").alias("_row")).distinct(), "jaccard-gone")
+    twice = keep(found.where("row = kept_row").groupBy(F.col("row").alias("_row")).count().where("count > 1").select("_row"), "jaccard-twice")
+    names = [c for c in docs.columns if c not in ("_row", "_worded")]
+    schema = T.StructType([*docs.select(*names).schema, T.StructField("_row", T.LongType()), T.StructField("_worded", T.BooleanType())])
+    tagged = docs.select(*names).mapInArrow(_tagged(k, names.index(key), names.index(text)), schema)
+    kept = tagged.join(gone, "_row", "left_anti")
+    if not twice.isEmpty():
+        again = kept.where("_worded").join(twice, "_row", "left_semi").dropDuplicates(["_row"])
+        kept = kept.where("NOT _worded").unionByName(kept.where("_worded").join(twice, "_row", "left_anti")).unionByName(again)
+    return kept.select(*names)

@@ -58,6 +58,7 @@ RULES = (
     Rule("stop words", "(n_stop_words + 1)", "n_words", low=5),
     Rule("repeated lines", "n_dup_lines", "n_lines", high=50),
 )
+STEPS = ("_q_words", "_q_lines", "_q_h", "_q_g", "_q_s", "_q_at")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaims", "n_stop_words")
 
 
@@ -72,7 +73,7 @@ def _fingerprints() -> Column:
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """The input's columns and MEASURES. A window's words are compared by a 64-bit hash of their 64-bit hashes."""
-    df = df.drop(*(c for c in df.columns if c in (*MEASURES, "base_failed", "kept") or c.startswith("_q_")))
+    df = df.drop(*(c for c in df.columns if c in (*MEASURES, "base_failed", "kept", *STEPS)))
     none = F.expr("CAST(array() AS ARRAY<BIGINT>)")
     lines = F.filter(F.split(whole(F.col(text)), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     # Windows that occur once are the rule: the sort below is for texts in which a hash occurs twice.
@@ -99,7 +100,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
             "n_exclaims": n_matching(whole(F.col(text)), "[!]"),
             "n_stop_words": F.size(F.filter(plain, lambda w: w.isin(*sorted(set(STOP_WORDS))))).cast("long"),
         }
-    ).drop("_q_words", "_q_lines", "_q_h", "_q_g", "_q_s", "_q_at")
+    ).drop(*STEPS)
 
 
 def judge(df: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -107,6 +108,18 @@ def judge(df: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, rule
     return measured(df, text).withColumns({"base_failed": ~passes(base), "kept": passes((*base, *rules))})
 
 
+def passing(df: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows that :func:`judge` keeps, with the input's columns.
+
+    A filter on computed columns would be moved below their computation, with each name replaced by its expression, and
+    arrays would be built again for each of their elements. The row number, which the filter names, holds it back.
+    """
+    own = F.struct(*(F.col(c) for c in df.columns)).alias("_q_own")
+    judged = measured(df.select(own, F.col(text).alias("_q_text")).withColumnRenamed("_q_own", "own").withColumnRenamed("_q_text", "text"))
+    numbered = judged.withColumn("at", F.monotonically_increasing_id())
+    return numbered.where(passes((*base, *rules)) & (F.col("at") >= 0)).select("own.*")
+
+
 def oracle_sql(table: str = "documents") -> str:
     """The same in DuckDB's SQL."""
     stops = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
