@@ -1 +1,21 @@
 """Doclith: a document query and processing engine on PySpark DataFrames."""
+
+from doclith.client import Client, Database
+from doclith.collection import Collection, Table, generate_id
+from doclith.cursor import Cursor
+from doclith.errors import (
+    ConfigurationError,
+    ConnectionFailure,
+    CursorNotFound,
+    DocumentError,
+    DuplicateKeyError,
+    InvalidOperation,
+    OperationFailure,
+    WriteError,
+)
+from doclith.results import DeleteResult, InsertManyResult, InsertOneResult, UpdateResult
+
+__all__ = [
+    "Client", "Collection", "ConfigurationError", "ConnectionFailure", "Cursor", "CursorNotFound", "Database", "DeleteResult", "DocumentError",
+    "DuplicateKeyError", "InsertManyResult", "InsertOneResult", "InvalidOperation", "OperationFailure", "Table", "UpdateResult", "WriteError", "generate_id",
+]
