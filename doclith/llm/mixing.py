@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from doclith.llm.shared import cut
-from doclith.llm.text import n_words, whole
+from doclith.llm.text import n_words, packed, whole
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -99,11 +99,11 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
 
 def mixed_rows(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """The rows that the mix takes, all columns of the input, and copies; a row is there once, not ``copies`` times."""
-    df = df.drop("copies", "_h", "_s", "_full", "_below", "_of")
+    df = df.drop("copies")
     rows = cut(sized(df, key, source, text))
     plan = thresholds(rows, targets(rows, weights, most)).select(F.col("source").alias("_s"), "_full", "_below")
-    joined = df.withColumns({"_h": row_hash(key, text), "_of": F.col(source).cast("string")}).join(plan, F.col("_of").eqNullSafe(F.col("_s")))
-    return joined.withColumn("copies", times_taken().cast("int")).where("copies > 0").drop("_h", "_s", "_full", "_below", "_of")
+    joined = df.select(packed(df), row_hash(key, text).alias("_h"), F.col(source).cast("string").alias("_of")).join(plan, F.col("_of").eqNullSafe(F.col("_s")))
+    return joined.withColumn("_copies", times_taken().cast("int")).where("_copies > 0").select("own.*", F.col("_copies").alias("copies"))
 
 
 def oracle_sql(table: str = "documents", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> str:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclith.llm.shared import cut, keep
-from doclith.llm.text import whole
+from doclith.llm.text import packed, whole
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds' expressions as they are defined.
@@ -189,10 +189,9 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int =
 
 def redact(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """The input with each span replaced by its kind in brackets; where spans overlap, by that of the one that starts first."""
-    read = _read(docs.select(F.lit(0).alias("_key"), text), "_key", text)
+    read = _read(docs.select(F.lit(0).alias("_key"), F.col(text).alias("_text")), "_key", "_text")
     added = keep(_discovered(read, rounds), "pii-added")
-    names = docs.columns
-    rows = docs.withColumn("_t", whole(F.col(text))).withColumn("_k", F.md5(F.col("_t").cast("binary")))
+    rows = docs.select(packed(docs), whole(F.col(text)).alias("_t")).withColumn("_k", F.md5(F.col("_t").cast("binary")))
     rows = _with_base(rows).drop("_digits").join(added.select("_k", "_added"), "_k", "left")
     rows = rows.withColumn("_spans", F.sort_array(F.concat("_base", F.coalesce("_added", _none()))))
     label = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
@@ -205,4 +204,4 @@ def redact(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFra
 
     rest = lambda s: F.array_join(F.concat(s["out"], F.array(F.substring(F.col("_t"), s["at"] + 1, F.length("_t")))), "")
     masked = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS ARRAY<STRING>)").alias("out")), step, rest)
-    return rows.withColumn(text, F.when(F.size("_spans") > 0, masked).otherwise(F.col(text))).select(*names)
+    return rows.select(F.col("own").withField(f"`{text}`", F.when(F.size("_spans") > 0, masked).otherwise(F.col("own")[text])).alias("own")).select("own.*")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclith.llm.text import BLANK_RUN, n_matching, whole, words
+from doclith.llm.text import n_matching, packed, whole, words
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = """
@@ -114,8 +114,7 @@ def passing(df: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, ru
     A filter on computed columns would be moved below their computation, with each name replaced by its expression, and
     arrays would be built again for each of their elements. The row number, which the filter names, holds it back.
     """
-    own = F.struct(*(F.col(c) for c in df.columns)).alias("_q_own")
-    judged = measured(df.select(own, F.col(text).alias("_q_text")).withColumnRenamed("_q_own", "own").withColumnRenamed("_q_text", "text"))
+    judged = measured(df.select(packed(df), F.col(text).alias("text")))
     numbered = judged.withColumn("at", F.monotonically_increasing_id())
     return numbered.where(passes((*base, *rules)) & (F.col("at") >= 0)).select("own.*")
 

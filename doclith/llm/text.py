@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -30,3 +30,8 @@ def n_words(text: Column) -> Column:
 def n_matching(text: Column, char_class: str) -> Column:
     """How many characters of the text belong to the class, such as ``[#*]``."""
     return (F.length(text) - F.length(F.regexp_replace(text, f"{char_class}+", ""))).cast("long")
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns as one, ``own``: what an operator computes beside it can have any names; ``own.*`` gives them back."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("own")
