@@ -9,9 +9,9 @@ Equal sets are one class from the start. What is asked for is the classes' compo
 in a bucket (the classes with a given prefix shingle) all are first compared with one pivot, and pairs that are
 already connected need no comparison. Only pairs of a bucket that are still apart after PIVOT_ROUNDS are compared all.
 
-Frequencies are counted over the whole table, of shingles and of words, in 2**SECTION_BITS sections of their hashes. A
-shingle's rank is first how far its section is above the mean, as one that many documents share is, and then the product
-of its words' frequencies. Any fixed order is right; one nearer to the true frequencies makes fewer pairs. Words and shingles are compared by 64-bit hashes, classes by 128 bits.
+Frequencies are counted over the whole table, of words and of shingles that are repeated nearby (in a reader's block of
+documents), in 2**WORD_BITS and 2**SHINGLE_BITS sections of their hashes. A shingle's rank is first how far its section is
+above the mean, as one that many documents share is, and then the product of its words' frequencies. Any fixed order is right; one nearer to the true frequencies makes fewer pairs. Words and shingles are compared by 64-bit hashes, classes by 128 bits.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null and blank texts have no shingles and link with
 nothing, themselves included; null ids take part, and a component of null ids alone has a null id; repeated rows are
@@ -30,23 +30,27 @@ from pyspark.sql import types as T
 
 from doclith.llm import members
 from doclith.llm.components import components
-from doclith.llm.shared import cut, keep
+from doclith.llm.shared import Drafts, cut, keep
+from doclith.llm.text import packed
 from doclith.llm.tokens import U, Words, chunks, lists, mix
 
-SECTION_BITS = 18
-SUFFIX_BITS = 7  # sections of the hash range whose counts the suffix filter compares
-PIVOT_ROUNDS = 3
+WORD_BITS, SHINGLE_BITS = 17, 18
+BLOCK = 1 << 21  # shingles in which repeated ones are found at once
+SUFFIX_BITS = 6  # sections of the hash range whose counts the suffix filter compares
+LARGE = 1 << 20  # shingles from which a set's counts don't fit, and the suffix filter lets it pass
+PIVOT_ROUNDS = 2
+TOKEN_BITS = 24  # of the set of shared tokens: 2 MB
 
 
-def _section(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> U(64 - SECTION_BITS)).astype(np.int64)
+def _section(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> U(64 - bits)).astype(np.int64)
 
 
 def _ranks(seen: np.ndarray) -> np.ndarray:
     """Of sections, words' first and shingles' then: 16 * log2 of a word section's count, and steps of 2**12 for each
     doubling of a shingle section's count beyond twice the mean."""
-    words, shingles = np.split(seen.astype(float), 2)
-    return np.concatenate([16 * np.log2(words + 1), np.floor(np.log2(1 + shingles / (2 * shingles.mean() + 1))) * 4096]).astype(np.int32)
+    words, shingles = seen[: 1 << WORD_BITS], seen[1 << WORD_BITS :]
+    return np.concatenate([(16 * np.log2(words + 1)).astype(np.int32), np.log2(1 + shingles / (2 * shingles.mean() + 1)).astype(np.int32) * 4096]).astype(np.int32)
 
 
 def _sets(w: Words, k: int, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -56,10 +60,10 @@ def _sets(w: Words, k: int, ranks: np.ndarray | None = None) -> tuple[np.ndarray
     count = np.diff(w.bounds)
     rank = np.zeros(len(grams), np.int32)
     if ranks is not None:
-        each = ranks[_section(w.hashes)]
+        each = ranks[_section(w.hashes, WORD_BITS)]
         for j in range(k):
             rank += each[at + j]
-        rank += ranks[_section(grams) + (1 << SECTION_BITS)]
+        rank += ranks[_section(grams, SHINGLE_BITS) + (1 << WORD_BITS)]
     short = np.flatnonzero((count > 0) & (count < k))
     if len(short):
         few = np.zeros(len(short), U)
@@ -93,21 +97,46 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+class _Frequencies:
+    """Counts of word sections, and of the sections of shingles that are there twice or more in a block."""
+
+    def __init__(self) -> None:
+        self.seen = np.zeros((1 << WORD_BITS) + (1 << SHINGLE_BITS), np.int64)
+        self.block: list[np.ndarray] = []
+
+    def add(self, words: np.ndarray, grams: np.ndarray) -> None:
+        self.seen[: 1 << WORD_BITS] += np.bincount(_section(words, WORD_BITS), minlength=1 << WORD_BITS)
+        self.block.append(grams)
+        if sum(map(len, self.block)) >= BLOCK:
+            self.close()
+
+    def close(self) -> None:
+        grams = np.sort(np.concatenate(self.block)) if self.block else np.zeros(0, U)
+        same = grams[1:] == grams[:-1]
+        again = np.zeros(len(grams), bool)
+        again[1:] |= same
+        again[:-1] |= same
+        sections, times = np.unique(_section(grams[again], SHINGLE_BITS), return_counts=True)
+        self.seen[sections + (1 << WORD_BITS)] += times
+        self.block = []
+
+
 def _describe(k: int):
-    """Rows of documents (key, n, s1, s2, row), then of sections (section, n): how often their words and shingles occur."""
+    """Rows of documents (key, n, s1, s2, row), then of sections (section, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, seen = ["key", "n", "s1", "s2", "row", "section"], np.zeros(2 << SECTION_BITS, np.int64)
+        names, counts = ["key", "n", "s1", "s2", "row", "section"], _Frequencies()
         for batch in batches:
             for a, b, w in chunks(batch.column(1)):
                 keys = batch.column(0).slice(a, b - a)
                 grams, bounds = _sets(w, k)
-                seen += np.bincount(np.concatenate([_section(w.hashes), _section(grams) + (1 << SECTION_BITS)]), minlength=len(seen))
+                counts.add(w.hashes, grams)
                 s1, s2, row = _identity(grams, bounds, keys)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(bounds)), _long(s1), _long(s2), _long(row), pa.nulls(b - a, pa.int32())], names)
-        used = np.flatnonzero(seen)
+        counts.close()
+        used = np.flatnonzero(counts.seen)
         none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(seen[used]), none, none, none, pa.array(used.astype(np.int32))], names)
+        yield pa.RecordBatch.from_arrays([none, pa.array(counts.seen[used]), none, none, none, pa.array(used.astype(np.int32))], names)
 
     return run
 
@@ -142,9 +171,9 @@ def _whole_sets(k: int, rows: np.ndarray):
                     if not len(part):
                         continue
                     sets = [grams[bounds[i] : bounds[i + 1]] for i in part]
-                    spread = [np.bincount((s >> U(64 - SUFFIX_BITS)).astype(np.int64), minlength=1 << SUFFIX_BITS) for s in sets]
                     ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-                    counts = pa.ListArray.from_arrays(pa.array(((np.arange(len(part) + 1) << SUFFIX_BITS)).astype(np.int32)), pa.array(np.concatenate(spread).astype(np.int32)))
+                    spread = [np.bincount((s >> U(64 - SUFFIX_BITS)).astype(np.int64), minlength=1 << SUFFIX_BITS) if len(s) < LARGE else np.full(1 << SUFFIX_BITS, 32767) for s in sets]
+                    counts = pa.ListArray.from_arrays(pa.array((np.arange(len(part) + 1) << SUFFIX_BITS).astype(np.int32)), pa.array(np.concatenate(spread).astype(np.int16)))
                     yield pa.RecordBatch.from_arrays([_long(row[part]), lists(np.concatenate(sets), ends), counts], ["row", "shingles", "spread"])
 
     return run
@@ -161,11 +190,10 @@ def _may_link(percent: int, x: str = "", y: str = "o_") -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (1 + F.least(n - i, m - j) >= _least(percent, n, m))
 
 
-def _spread_alike(percent: int, p: str, q: str) -> Column:
+def _spread_alike(least: Column, n: Column, m: Column, p: str, q: str) -> Column:
     """Suffix filter: sets share no more than the lesser counts of each section of the hash range allow."""
-    shared = F.aggregate(F.zip_with(p, q, lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
-    size = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x)
-    return shared >= _least(percent, size(p), size(q))
+    shared = F.aggregate(F.zip_with(p, q, lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda a, x: a + x)
+    return (F.greatest(n, m) >= LARGE) | (shared >= least)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -174,7 +202,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = side("u").select(F.col("row").alias("u"), F.col("shingles").alias("s"), F.col("spread").alias("p"))
     b = side("v").select(F.col("row").alias("v"), F.col("shingles").alias("t"), F.col("spread").alias("q"))
     both = pairs.join(a, "u").join(b, "v")
-    links = F.when(_spread_alike(percent, "p", "q"), F.size(F.array_intersect("s", "t")) >= _least(percent, F.size("s"), F.size("t"))).otherwise(False)
+    least = _least(percent, F.size("s"), F.size("t"))
+    links = F.when(_spread_alike(least, F.size("s"), F.size("t"), "p", "q"), F.size(F.array_intersect("s", "t")) >= least).otherwise(False)
     return both.where(links).select("u", "v")
 
 
@@ -183,12 +212,12 @@ def _met(apart: DataFrame, others: DataFrame, percent: int, spread: bool = False
     others = others.select(F.col("token").alias("_token"), *(F.col(c).alias(f"o_{c}") for c in ("row", "n", "pos", "label", *["spread"] * spread)))
     may = (F.col("label") != F.col("o_label")) & _may_link(percent)
     if spread:
-        may = (F.col("row") < F.col("o_row")) & may & _spread_alike(percent, "spread", "o_spread")
+        may = (F.col("row") < F.col("o_row")) & may & _spread_alike(_least(percent, F.col("n"), F.col("o_n")), F.col("n"), F.col("o_n"), "spread", "o_spread")
     met = apart.join(others, (F.col("token") == F.col("_token")) & may)
     return met.select(F.col("row").alias("u"), F.col("o_row").alias("v")).distinct()
 
 
-def _links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(entries: DataFrame, sets: DataFrame, percent: int, drafts: Drafts) -> DataFrame:
     """Links (u, v) that connect whatever the classes' links connect. entries: token, row, n, pos, of shared tokens."""
     found = done = None
     apart = entries.withColumn("label", F.col("row"))
@@ -201,14 +230,14 @@ def _links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         else:
             mixed = apart.join(buckets.select(F.col("token").alias("_in")), F.col("token") == F.col("_in"), "left_semi")
             spread = members.filtered(sets, "row", members.collect(mixed, "row")).select(F.col("row").alias("_of"), "spread").dropDuplicates(["_of"])
-            mixed = keep(mixed.join(spread, F.col("row") == F.col("_of")).drop("_of"), "jaccard-mixed")
+            mixed = drafts.keep(mixed.join(spread, F.col("row") == F.col("_of")).drop("_of"), "jaccard-mixed")
             pairs = _met(mixed, mixed, percent, spread=True)
         if done is not None:
             pairs = pairs.join(done, (F.least("u", "v") == F.col("_a")) & (F.greatest("u", "v") == F.col("_b")), "left_anti")
-        pairs = keep(pairs, "jaccard-pairs")
+        pairs = drafts.keep(pairs, "jaccard-pairs")
         both = pairs.select(F.least("u", "v").alias("_a"), F.greatest("u", "v").alias("_b"))
         done = both if done is None else done.union(both)
-        more = keep(_verified(pairs, sets, percent), "jaccard-links")
+        more = drafts.keep(_verified(pairs, sets, percent), "jaccard-links")
         found = more if found is None else found.union(more)
         if turn < PIVOT_ROUNDS and not more.isEmpty():
             label = components(found).select(F.col("node").alias("_node"), F.col("component").alias("_label"))
@@ -216,12 +245,17 @@ def _links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found
 
 
-def _shared(entries: DataFrame, percent: int) -> DataFrame:
-    """The entries whose token another one has, and that can still link with the smallest set that has it."""
+def _shared(entries: DataFrame, percent: int, drafts: Drafts) -> DataFrame:
+    """The entries whose token another one has, and that can still link with the smallest set that has it.
+
+    Most tokens are in one set alone; their entries are left out before the join.
+    """
     bucket = entries.groupBy(F.col("token").alias("_token")).agg(F.count(F.lit(1)).alias("_m"), F.min("n").alias("_n")).where("_m > 1")
+    bucket = drafts.keep(bucket, "jaccard-tokens")
     partner = F.greatest(F.col("_n"), F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9))
     may = (F.col("token") == F.col("_token")) & (1 + F.col("n") - F.col("pos") >= _least(percent, F.col("n"), partner))
-    return entries.join(bucket, may).drop("_token", "_m", "_n")
+    likely = members.filtered(entries, "token", members.collect(bucket, "_token", TOKEN_BITS))
+    return drafts.keep(likely.join(bucket, may).drop("_token", "_m", "_n"), "jaccard-shared")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
@@ -232,17 +266,21 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3
     """
     plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     told = keep(plain.mapInArrow(_describe(k), "key long, n long, s1 long, s2 long, row long, section int"), "jaccard-sets")
-    seen = np.zeros(2 << SECTION_BITS, np.int64)
-    by_section = told.where("section IS NOT NULL").groupBy("section").agg(F.sum("n").alias("n")).toPandas()  # as many rows as sections
-    seen[by_section["section"].to_numpy(int)] = by_section["n"].to_numpy(np.int64)
+    seen = np.zeros((1 << WORD_BITS) + (1 << SHINGLE_BITS), np.int64)
+    by_section = told.where("section IS NOT NULL").groupBy("section").agg(F.sum("n").alias("n")).toArrow()  # as many rows as sections
+    seen[by_section["section"].to_numpy()] = by_section["n"].to_numpy()
+    del by_section
     rows = told.where("section IS NULL").drop("section")
     kinds = keep(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct(F.col("key").isNull().alias("z"), "key", "row")).alias("_m"), F.min("key").alias("first")).select("s1", "s2", "n", F.col("_m.row").alias("node"), "first"), "jaccard-classes")
     prefixes = plain.mapInArrow(_prefixes(k, percent, _ranks(seen)), "row long, n long, prefix array<long>")
     entries = prefixes.join(kinds.select(F.col("node").alias("_node")), F.col("row") == F.col("_node"), "left_semi").select("row", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token")).select("token", "row", "n", (F.col("at") + 1).alias("pos"))
-    entries = keep(entries, "jaccard-prefixes")
-    entries = keep(_shared(keep(_shared(entries, percent), "jaccard-shared"), percent).distinct(), "jaccard-entries")
-    sets = keep(plain.mapInArrow(_whole_sets(k, members.collect(entries, "row")), "row long, shingles array<long>, spread array<int>"), "jaccard-wholes")
-    label = components(_links(entries, sets, percent)).select(F.col("node").alias("_node"), "component")
+    first, second = Drafts(docs.sparkSession), Drafts(docs.sparkSession)
+    entries = _shared(first.keep(entries, "jaccard-prefixes"), percent, first)
+    entries = second.keep(_shared(entries, percent, first).distinct(), "jaccard-entries")
+    first.remove()
+    sets = second.keep(plain.mapInArrow(_whole_sets(k, members.collect(entries, "row")), "row long, shingles array<long>, spread array<short>"), "jaccard-wholes")
+    label = keep(components(_links(entries, sets, percent, second)).select(F.col("node").alias("_node"), "component"), "jaccard-components")
+    second.remove()
     named = kinds.join(label, F.col("node") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "node"))
     order = F.struct(F.col("first").isNull().alias("z"), "first", "node")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"), F.min(order)["node"].alias("kept_row"))
@@ -251,13 +289,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"), "row", F.when(F.col("n") > 0, F.col("kept_row")).otherwise(F.col("row")).alias("kept_row"))
 
 
-def _tagged(k: int, key: int, text: int):
+def _tagged(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, w in chunks(batch.column(text)):
+            for a, b, w in chunks(batch.column(2)):
                 part = batch.slice(a, b - a)
-                _, _, row = _identity(*_sets(w, k), part.column(key).cast(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns, _long(row), pa.array(np.diff(w.bounds) > 0)], [*part.schema.names, "_row", "_worded"])
+                _, _, row = _identity(*_sets(w, k), part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), _long(row), pa.array(np.diff(w.bounds) > 0)], ["own", "_row", "_worded"])
 
     return run
 
@@ -270,11 +308,27 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     found = keep(classes(docs, key, text, k, percent).where("n_shingles > 0"), "jaccard-found")
     gone = keep(found.where("row != kept_row").select(F.col("row").alias("_row")).distinct(), "jaccard-gone")
     twice = keep(found.where("row = kept_row").groupBy(F.col("row").alias("_row")).count().where("count > 1").select("_row"), "jaccard-twice")
-    names = [c for c in docs.columns if c not in ("_row", "_worded")]
-    schema = T.StructType([*docs.select(*names).schema, T.StructField("_row", T.LongType()), T.StructField("_worded", T.BooleanType())])
-    tagged = docs.select(*names).mapInArrow(_tagged(k, names.index(key), names.index(text)), schema)
-    kept = tagged.join(gone, "_row", "left_anti")
+    plain = docs.select(packed(docs), F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    schema = T.StructType([plain.schema["own"], T.StructField("_row", T.LongType()), T.StructField("_worded", T.BooleanType())])
+    kept = plain.mapInArrow(_tagged(k), schema).join(gone, "_row", "left_anti")
     if not twice.isEmpty():
         again = kept.where("_worded").join(twice, "_row", "left_semi").dropDuplicates(["_row"])
         kept = kept.where("NOT _worded").unionByName(kept.where("_worded").join(twice, "_row", "left_anti")).unionByName(again)
-    return kept.select(*names)
+    return kept.select("own.*")
+
+
+def oracle_sql(table: str = "documents", k: int = 3, percent: int = 90) -> str:
+    """doc_id, n_shingles, component_id in DuckDB's SQL, by all pairs that share a shingle."""
+    return rf"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {table}),
+s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * m >= {percent} * (a.n + b.n - m)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.c FROM r JOIN e ON r.doc_id = e.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id
+FROM d JOIN r ON d.doc_id = r.doc_id LEFT JOIN n ON d.doc_id = n.doc_id GROUP BY d.doc_id"""

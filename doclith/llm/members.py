@@ -19,8 +19,8 @@ def collect(numbers: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
     low = F.col(column).bitwiseAND((1 << bits) - 1)
     rows = numbers.where(F.col(column).isNotNull()).groupBy(F.shiftright(low, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))")).alias("b"))
     out = np.zeros(1 << (bits - 6), np.int64)
-    found = rows.toPandas()
-    out[found["w"].to_numpy(int)] = found["b"].to_numpy(np.int64)
+    found = rows.toArrow()
+    out[found["w"].to_numpy()] = found["b"].to_numpy()
     return out.view(np.uint64)
 
 

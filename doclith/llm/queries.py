@@ -80,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_warc": warc.oracle_sql(),
+        "op7_ngram_jaccard": jaccard.oracle_sql(),
         "op9_quality_rules": f"SELECT * EXCLUDE (lang, source, n_chars, text) FROM ({quality_rules.oracle_sql()})",
         "op10_mix_sources": mixing.oracle_sql(),
     }

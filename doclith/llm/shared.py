@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -26,14 +27,52 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which an execution's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    """What the table is made of isn't needed once it is written, so its shuffle files go at once."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once as Parquet in the shared folder and read back: later jobs and retries reread the files."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _write(df, new_path(df.sparkSession, name))
+
+
+class Drafts:
+    """Tables like those of :func:`keep` that are removed together, when what was made of them is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, name))
+        return _write(df, self.paths[-1])
+
+    def remove(self) -> None:
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
 
 
 def cut(df: DataFrame) -> DataFrame:
     """For small state of loops: a reliable checkpoint, removed when nothing refers to it any more."""
     folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sampled(df: DataFrame, hashed: Column, rows: int) -> DataFrame:
+    """About ``rows`` of the rows, all if there are no more: those whose 64-bit hash is below the bound that their number
+    gives. Unlike an order with a limit it moves nothing, and no partition sends more than its share."""
+    share = rows / max(df.count(), 1)
+    return df if share >= 1 else df.where(F.pmod(hashed, F.lit(1 << 32)) < int(share * (1 << 32)))
