@@ -8,7 +8,7 @@ trained on: at most UNKNOWN_ERRORS of the unknown ones reach it. A prediction is
 three-word sequences are in the paragraph; both are needed for a family, and what speaks of a licence without them is
 reported as ``unknown``.
 
-Training takes paragraphs from BACKGROUND documents at most, those with the smallest hashes; all documents are scanned.
+Training takes paragraphs from about BACKGROUND documents, by a hash of the text; all documents are scanned.
 
 Defined cases: null and empty texts have no paragraphs; repeated rows are reported each; null ids are reported as null;
 further columns do not matter; an empty table gives an empty table.
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doclith.llm.shared import sampled
 from doclith.llm.tokens import U, Words, chunks, words
 
 # How notices of these families read.
@@ -262,10 +263,10 @@ def _scan(model: Model):
 
 
 def background(docs: DataFrame, text: str = "text", most: int = BACKGROUND) -> list[str]:
-    """A paragraph each of ``most`` documents at most, 500 code points of it, for training alone."""
+    """A paragraph each of about ``most`` documents, 500 code points of it, for training alone."""
     line = F.substring(F.substring_index(F.col(text), "\n", 1), 1, 500)
-    rows = docs.select(line.alias("t"), F.xxhash64(text).alias("h")).where("length(t) > 20").orderBy("h", "t").limit(most)
-    return [r["t"] for r in rows.collect()]
+    rows = sampled(docs, F.xxhash64(text), most).select(line.alias("t")).where("length(t) > 20").distinct()  # copies share a hash
+    return sorted(r["t"] for r in rows.collect())
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:

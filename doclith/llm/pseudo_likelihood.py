@@ -4,7 +4,7 @@ The network sees WINDOW words on both sides of a position, never the word there:
 sum to a hidden layer whose softmax gives the class of the missing word; the word's share of its class's count gives
 the rest. A document's score is the sum, over all its words, of the log-probability of each given those around it.
 
-Words are counted over the whole corpus. The VOCABULARY most frequent ones have embeddings and, by frequency, classes of
+Words are counted over the whole corpus. The most frequent ones, VOCABULARY at most, have embeddings and, by frequency, classes of
 about equal mass; all others share one embedding and one class, in which each kind of word is equally likely. In each
 of ROUNDS every partition trains on a MASKED share of all its positions, and Spark averages the parameters, row by row,
 weighted by how often a partition has trained them: what a partition sends is bounded by the model and the number of
@@ -71,11 +71,11 @@ def vocabulary(hashes: np.ndarray, counts: np.ndarray, all_words: int, all_kinds
         classes[1:-1] = label[np.argsort(order)][by_hash]
         hashes, counts = hashes[by_hash], counts[by_hash]
     total = np.bincount(classes[1:-1], weights=counts, minlength=CLASSES)
-    total[0] = max(all_words - mass, 0)
+    total[0] = max(all_words - mass, 0) + 0.5  # texts scored later can have other words where this corpus has none
     shares = np.zeros(len(counts) + 2)
     shares[0] = -np.log(max(all_kinds - len(counts), 1))
     shares[1:-1] = np.log(counts / total[classes[1:-1]])
-    return Vocabulary(hashes, classes, shares.astype(np.float32), np.log((total + 0.5) / (total.sum() + 0.5 * CLASSES)).astype(np.float32))
+    return Vocabulary(hashes, classes, shares.astype(np.float32), np.log(np.maximum(total / max(total.sum(), 1), 1e-17)).astype(np.float32))
 
 
 @dataclass
@@ -197,12 +197,24 @@ def _train(network: Network, known: Vocabulary, turn: int):
     return run
 
 
+def _frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The most frequent words, ``size`` at most: a histogram by the logarithm of the count, of a few hundred rows, tells
+    from which count on they fit."""
+    step = F.floor(16 * F.log2("n")).cast("int")
+    left, least = size, 1 << 30
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["step"]
+    return counts.where(step >= least)
+
+
 def fit(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> tuple[Network, Vocabulary]:
     """Counts and trains on all texts."""
     texts = docs.select(F.col(text).cast("string").alias("text"))
     counts = texts.mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).cache()
     words, kinds = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(size).toPandas()  # the vocabulary, of a fixed size
+    top = _frequent(counts, size).toPandas()
     counts.unpersist()
     known = vocabulary(top["word"].to_numpy(np.int64).view(U), top["n"].to_numpy(float), words or 0, kinds)
     network = Network.new(known)
