@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from doclith.llm.shared import cut
+from doclith.llm.shared import cut, keep
 from doclith.llm.text import n_words, packed, whole
 
 WEIGHTS = (1, 2, 3)
@@ -92,7 +92,7 @@ def times_taken() -> Column:
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """key, size, source_size, target, taken of each row, and copies: how often the mix takes it, 0 to ``most``."""
     rows = cut(sized(df, key, source, text))
-    plan = cut(thresholds(rows, targets(rows, weights, most)))
+    plan = keep(thresholds(rows, targets(rows, weights, most)), "mixing-plan")
     joined = rows.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
     return joined.select(F.col(key), "size", "source_size", "target", (F.col("size") * times_taken()).alias("taken"), times_taken().cast("int").alias("copies"))
 
@@ -101,7 +101,8 @@ def mixed_rows(df: DataFrame, key: str = "doc_id", source: str = "source", text:
     """The rows that the mix takes, all columns of the input, and copies; a row is there once, not ``copies`` times."""
     df = df.drop("copies")
     rows = cut(sized(df, key, source, text))
-    plan = thresholds(rows, targets(rows, weights, most)).select(F.col("source").alias("_s"), "_full", "_below")
+    # A written table has a known size: if it is small, Spark broadcasts it and no text is moved.
+    plan = keep(thresholds(rows, targets(rows, weights, most)).select(F.col("source").alias("_s"), "_full", "_below"), "mixing-plan")
     joined = df.select(packed(df), row_hash(key, text).alias("_h"), F.col(source).cast("string").alias("_of")).join(plan, F.col("_of").eqNullSafe(F.col("_s")))
     return joined.withColumn("_copies", times_taken().cast("int")).where("_copies > 0").select("own.*", F.col("_copies").alias("copies"))
 
