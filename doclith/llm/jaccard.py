@@ -246,16 +246,20 @@ def _links(entries: DataFrame, sets: DataFrame, percent: int, drafts: Drafts) ->
 
 
 def _shared(entries: DataFrame, percent: int, drafts: Drafts) -> DataFrame:
-    """The entries whose token another one has, and that can still link with the smallest set that has it.
+    """The entries whose token another one has, and that can still link with one that has it.
 
-    Most tokens are in one set alone; their entries are left out before the join.
+    Of two entries with a token each is tested against the other, as sums less one's own tell the other's size and rest; of
+    more, against the smallest size. Most tokens are in one set alone; their entries are left out before the join.
     """
-    bucket = entries.groupBy(F.col("token").alias("_token")).agg(F.count(F.lit(1)).alias("_m"), F.min("n").alias("_n")).where("_m > 1")
+    rest = F.col("n") - F.col("pos")
+    bucket = entries.groupBy(F.col("token").alias("_token")).agg(F.count(F.lit(1)).alias("_m"), F.min("n").alias("_n"), F.sum("n").alias("_sizes"), F.sum(rest).alias("_rests")).where("_m > 1")
     bucket = drafts.keep(bucket, "jaccard-tokens")
     partner = F.greatest(F.col("_n"), F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9))
-    may = (F.col("token") == F.col("_token")) & (1 + F.col("n") - F.col("pos") >= _least(percent, F.col("n"), partner))
+    size = F.col("_sizes") - F.col("n")
+    pair = (100 * F.least("n", size) >= percent * F.greatest("n", size)) & (1 + F.least(rest, F.col("_rests") - rest) >= _least(percent, F.col("n"), size))
+    may = (F.col("token") == F.col("_token")) & F.when(F.col("_m") == 2, pair).otherwise(1 + rest >= _least(percent, F.col("n"), partner))
     likely = members.filtered(entries, "token", members.collect(bucket, "_token", TOKEN_BITS))
-    return drafts.keep(likely.join(bucket, may).drop("_token", "_m", "_n"), "jaccard-shared")
+    return drafts.keep(likely.join(bucket, may).select(*entries.columns), "jaccard-shared")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
