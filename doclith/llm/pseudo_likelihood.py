@@ -36,6 +36,7 @@ BLOCK = 8192  # positions at once
 BATCH = 1024  # positions a training step
 RATE = 0.1
 SEED = 11
+HASH_BITS = 60  # of a word, leading ones, by which equally frequent words are chosen
 PLACES = [j for j in range(-WINDOW, WINDOW + 1) if j]
 
 
@@ -198,15 +199,27 @@ def _train(network: Network, known: Vocabulary, turn: int):
 
 
 def _frequent(counts: DataFrame, size: int) -> DataFrame:
-    """The most frequent words, ``size`` at most: a histogram by the logarithm of the count, of a few hundred rows, tells
-    from which count on they fit."""
+    """The most frequent words, ``size`` of them or all: a histogram by the logarithm of the count, of a few hundred rows,
+    tells from which count on they fit. Where not all of a count's bin fit, its words are taken by their hash, up to a
+    bound that histograms of the hash's leading bits find, the next bits within one bucket each."""
     step = F.floor(16 * F.log2("n")).cast("int")
-    left, least = size, 1 << 30
+    left, edge = size, -1
     for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
         if r["count"] > left:
+            edge = r["step"]
             break
-        left, least = left - r["count"], r["step"]
-    return counts.where(step >= least)
+        left -= r["count"]
+    inside, bound, bits = counts.where(step == edge), 0, 0
+    while edge >= 0 and left and bits < HASH_BITS:
+        bits += 12
+        bucket = F.shiftrightunsigned("word", 64 - bits)
+        for r in sorted(inside.groupBy(bucket.alias("bucket")).count().collect(), key=lambda r: r["bucket"]):
+            bound = r["bucket"] << (HASH_BITS - bits)
+            if r["count"] > left:
+                break
+            left -= r["count"]
+        inside = inside.where(bucket == r["bucket"])
+    return counts.where((step > edge) | ((step == edge) & (F.shiftrightunsigned("word", 64 - HASH_BITS) < bound)))
 
 
 def fit(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> tuple[Network, Vocabulary]:
