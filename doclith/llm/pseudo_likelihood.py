@@ -4,14 +4,16 @@ The network sees WINDOW words on both sides of a position, never the word there:
 sum to a hidden layer whose softmax gives the class of the missing word; the word's share of its class's count gives
 the rest. A document's score is the sum, over all its words, of the log-probability of each given those around it.
 
-Words are counted over the whole corpus. The most frequent ones, VOCABULARY at most, have embeddings and, by frequency, classes of
-about equal mass; all others share one embedding and one class, in which each kind of word is equally likely. In each
+Words are counted over the whole corpus, and the counts of all are kept in a table. The most frequent ones, VOCABULARY
+at most, have embeddings and, by frequency, classes of about equal mass; all others share one embedding and one class,
+in which a word is as likely as its own count says: a join with the table tells it. In each
 of ROUNDS every partition trains on a MASKED share of all its positions, and Spark averages the parameters, row by row,
 weighted by how often a partition has trained them: what a partition sends is bounded by the model and the number of
 partitions follows the corpus, and what the driver gets is one model.
 
 Defined cases: null and empty texts have no words, a score of 0 and no mean; repeated rows are scored each; null ids
-pass through; further columns do not matter; an empty table gives an empty table.
+pass through; further columns do not matter; an empty table gives an empty table; a word that the corpus has not counts
+as half an occurrence.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclith.llm.tokens import U, Words, chunks
+from doclith.llm.shared import keep
+from doclith.llm.tokens import U, Words, chunks, lists
 
 VOCABULARY = 1 << 15
 CLASSES = 128
@@ -35,6 +38,7 @@ ROUNDS = 2
 BLOCK = 8192  # positions at once
 BATCH = 1024  # positions a training step
 RATE = 0.1
+UNSEEN = 0.5  # the count of words that the corpus has not
 SEED = 11
 HASH_BITS = 60  # of a word, leading ones, by which equally frequent words are chosen
 PLACES = [j for j in range(-WINDOW, WINDOW + 1) if j]
@@ -48,6 +52,7 @@ class Vocabulary:
     classes: np.ndarray  # by id; ids follow hashes from 1 on, then comes the padding
     shares: np.ndarray
     priors: np.ndarray  # log-probability of each class
+    usual: float  # logarithm of the mean count of a kind of other words
 
     @property
     def padding(self) -> int:
@@ -71,12 +76,12 @@ def vocabulary(hashes: np.ndarray, counts: np.ndarray, all_words: int, all_kinds
         by_hash = np.argsort(hashes)
         classes[1:-1] = label[np.argsort(order)][by_hash]
         hashes, counts = hashes[by_hash], counts[by_hash]
-    total = np.bincount(classes[1:-1], weights=counts, minlength=CLASSES)
-    total[0] = max(all_words - mass, 0) + 0.5  # texts scored later can have other words where this corpus has none
+    total = np.bincount(classes[1:-1], weights=counts, minlength=CLASSES).astype(float)
+    total[0] = max(all_words - mass, 0) + UNSEEN  # texts scored later can have other words where this corpus has none
     shares = np.zeros(len(counts) + 2)
     shares[0] = -np.log(max(all_kinds - len(counts), 1))
     shares[1:-1] = np.log(counts / total[classes[1:-1]])
-    return Vocabulary(hashes, classes, shares.astype(np.float32), np.log(np.maximum(total / max(total.sum(), 1), 1e-17)).astype(np.float32))
+    return Vocabulary(hashes, classes, shares.astype(np.float32), np.log(np.maximum(total / max(total.sum(), 1), 1e-17)).astype(np.float32), float(np.log(total[0]) + shares[0]))
 
 
 @dataclass
@@ -127,7 +132,7 @@ def _forward(parts: tuple, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
 
 
 def log_probabilities(network: Network, known: Vocabulary, w: Words) -> np.ndarray:
-    """Of each word given the words around it."""
+    """Of each word given the words around it; other words as if each kind had their mean count."""
     ids, at, _ = _padded(w, known)
     out, parts = np.empty(len(at), np.float32), network.parts()
     for a in range(0, len(at), BLOCK):
@@ -222,13 +227,12 @@ def _frequent(counts: DataFrame, size: int) -> DataFrame:
     return counts.where((step > edge) | ((step == edge) & (F.shiftrightunsigned("word", 64 - HASH_BITS) < bound)))
 
 
-def fit(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> tuple[Network, Vocabulary]:
-    """Counts and trains on all texts."""
+def fit(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> tuple[Network, Vocabulary, DataFrame]:
+    """Counts and trains on all texts; the table has all words' counts: word, n."""
     texts = docs.select(F.col(text).cast("string").alias("text"))
-    counts = texts.mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).cache()
+    counts = keep(texts.mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "likelihood-words")
     words, kinds = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     top = _frequent(counts, size).toPandas()
-    counts.unpersist()
     known = vocabulary(top["word"].to_numpy(np.int64).view(U), top["n"].to_numpy(float), words or 0, kinds)
     network = Network.new(known)
     schema = "row long, times double, " + ", ".join(f"x{i} double" for i in range(WIDTH))
@@ -237,7 +241,7 @@ def fit(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> tuple[Ne
         rows = network.rows.copy()
         rows[sums["row"].to_numpy(int)] = sums[[f"x{i}" for i in range(WIDTH)]].to_numpy() / sums[["times"]].to_numpy()
         network = Network(rows)
-    return network, known
+    return network, known, counts
 
 
 def _score(network: Network, known: Vocabulary):
@@ -246,16 +250,24 @@ def _score(network: Network, known: Vocabulary):
             for a, b, w in chunks(batch.column(1), letters=True):
                 n = np.diff(w.bounds)
                 total = np.bincount(np.repeat(np.arange(len(n)), n), weights=log_probabilities(network, known, w), minlength=len(n))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(total)], ["key", "n", "total"])
+                others = np.flatnonzero(known.ids(w.hashes) == 0)
+                found = lists(w.hashes[others], np.searchsorted(others, w.bounds))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(total), found], ["key", "n", "total", "others"])
 
     return run
 
 
-def score(docs: DataFrame, model: tuple[Network, Vocabulary], key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple[Network, Vocabulary, DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, log_likelihood (the sum), mean_log_likelihood, perplexity of every document."""
+    *model, counts = model
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
     run = lambda batches: _score(*shared.value)(batches)
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, n long, total double")
+    out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, n long, total double, others array<long>")
+    # The row number is written with the rows, once: the join below can't see another one.
+    out = keep(out.withColumn("row", F.monotonically_increasing_id()), "likelihood-scores")
+    counted = out.select("row", F.explode("others").alias("word")).join(counts.withColumnRenamed("n", "times"), "word", "left")
+    more = counted.groupBy("row").agg(F.sum(F.log(F.coalesce(F.col("times").cast("double"), F.lit(UNSEEN))) - F.lit(model[1].usual)).alias("more"))
+    out = out.select("row", "key", "n", "total").join(more, "row", "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0.0)))
     mean = F.when(F.col("n") > 0, F.col("total") / F.col("n"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_tokens"), F.col("total").alias("log_likelihood"), mean.alias("mean_log_likelihood"), F.exp(-mean).alias("perplexity"))

@@ -16,3 +16,13 @@ def test_vocabulary_of_tied_words(spark):
     texts = [(i, " ".join(f"w{(37 * i + j) % 400}" for j in range(60))) for i in range(400)]
     _, known, *_ = pseudo_likelihood.fit(spark.createDataFrame(texts, "doc_id long, text string"), size=256)
     assert len(known.hashes) == 256 and len(np.unique(known.classes[1:-1])) > 50
+
+
+def test_words_outside_the_vocabulary_are_scored_by_their_count(spark):
+    texts = [(i, "all of these stay " * 20 + "rather " * 9 + "seldom") for i in range(30)] + [(100, "rather"), (101, "seldom"), (102, "typo"), (103, "unseen"), (103, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    model = pseudo_likelihood.fit(df.where("doc_id < 103"), size=4)
+    rows = {r.doc_id: r for r in pseudo_likelihood.score(df, model).where("n_tokens > 0").collect()}
+    gain = lambda a, b: rows[a].log_likelihood - rows[b].log_likelihood
+    assert len(model[1].hashes) == 4 and model[2].count() == 7
+    assert abs(gain(100, 101) - np.log(271 / 31)) < 1e-4 and abs(gain(101, 102) - np.log(31)) < 1e-4 and abs(gain(102, 103) - np.log(2)) < 1e-4
