@@ -7,8 +7,8 @@ the rest. A document's score is the sum, over all its words, of the log-probabil
 Words are counted over the whole corpus, and the counts of all are kept in a table. The most frequent ones, VOCABULARY
 at most, have embeddings and, by frequency, classes of about equal mass; all others share one embedding and one class,
 in which a word is as likely as its own count says: a join with the table tells it. In each
-of ROUNDS every partition trains on a MASKED share of all its positions, and Spark averages the parameters, row by row,
-weighted by how often a partition has trained them: what a partition sends is bounded by the model and the number of
+of ROUNDS every partition trains on its share of the positions of every text, a random one by place; the rounds' shares
+are disjoint and together all positions. Spark averages the parameters, row by row, weighted by how often a partition has trained them: what a partition sends is bounded by the model and the number of
 partitions follows the corpus, and what the driver gets is one model.
 
 Defined cases: null and empty texts have no words, a score of 0 and no mean; repeated rows are scored each; null ids
@@ -27,13 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doclith.llm.shared import keep
-from doclith.llm.tokens import U, Words, chunks, lists
+from doclith.llm.tokens import U, Words, chunks, lists, mix
 
 VOCABULARY = 1 << 15
 CLASSES = 128
 WIDTH = 16
 WINDOW = 2
-MASKED = 0.08
 ROUNDS = 2
 BLOCK = 8192  # positions at once
 BATCH = 1024  # positions a training step
@@ -117,7 +116,7 @@ def _padded(w: Words, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _forward(parts: tuple, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids around the positions, the hidden layer, and the classes' log-probabilities there."""
+    """Ids around the positions, the hidden layer, and the classes' chances there, which do not sum to one."""
     embeddings, places, vectors, biases = parts
     near = np.stack([ids[at + j] for j in PLACES])
     hidden = embeddings[near[0]] * places[0]
@@ -127,8 +126,7 @@ def _forward(parts: tuple, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     logits = hidden @ vectors.T
     logits += biases
     np.clip(logits, -40, 40, out=logits)
-    logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-    return near, hidden, logits
+    return near, hidden, np.exp(logits, out=logits)
 
 
 def log_probabilities(network: Network, known: Vocabulary, w: Words) -> np.ndarray:
@@ -137,9 +135,9 @@ def log_probabilities(network: Network, known: Vocabulary, w: Words) -> np.ndarr
     out, parts = np.empty(len(at), np.float32), network.parts()
     for a in range(0, len(at), BLOCK):
         here = at[a : a + BLOCK]
-        _, _, logits = _forward(parts, ids, here)
+        _, _, chances = _forward(parts, ids, here)
         word = ids[here]
-        out[a : a + BLOCK] = logits[np.arange(len(here)), known.classes[word]] + known.shares[word]
+        out[a : a + BLOCK] = np.log(chances[np.arange(len(here)), known.classes[word]] / chances.sum(1)) + known.shares[word]
     return out
 
 
@@ -162,14 +160,16 @@ class Trainer:
         n, m = len(embeddings), len(places)
         for a in range(0, len(at), BATCH):
             here = at[a : a + BATCH]
-            near, hidden, logits = _forward(parts, ids, here)
-            error = np.exp(logits)
+            near, hidden, error = _forward(parts, ids, here)
+            error /= error.sum(1, keepdims=True)
             error[np.arange(len(here)), classes[ids[here]]] -= 1
             back = (error @ vectors) * (1 - hidden * hidden)
             change = np.concatenate([back * places[j] for j in range(m)])
             flat = near.reshape(-1)
             order = np.argsort(flat, kind="stable")
-            used, first, times = np.unique(flat[order], return_index=True, return_counts=True)
+            flat = flat[order]
+            first = np.flatnonzero(np.diff(flat, prepend=-1))
+            used, times = flat[first], np.diff(first, append=len(flat))
             by_word = np.add.reduceat(change[order], first, axis=0)
             by_place = np.stack([(back * embeddings[near[j]]).mean(0) for j in range(m)])
             self._step(slice(n + m, n + m + CLASSES), error.T @ hidden / len(here), len(here))
@@ -186,6 +186,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], ["word", "n"])
 
 
+def _turns(w: Words) -> np.ndarray:
+    """The round in which each position is trained: a fixed function of its place in the text."""
+    n = np.diff(w.bounds)
+    place = np.arange(len(w.hashes)) - np.repeat(w.bounds[:-1], n)
+    return (mix(place.astype(U) + U(SEED)) % U(ROUNDS)).astype(int)
+
+
 def _train(network: Network, known: Vocabulary, turn: int):
     names = ["row", "times", *(f"x{i}" for i in range(WIDTH))]
 
@@ -194,7 +201,7 @@ def _train(network: Network, known: Vocabulary, turn: int):
         for batch in batches:
             for _, _, w in chunks(batch.column(0), letters=True):
                 ids, at, _ = _padded(w, known)
-                trainer.learn(ids, chance.permutation(at[chance.random(len(at)) < MASKED]), known.classes)
+                trainer.learn(ids, chance.permutation(at[_turns(w) == turn]), known.classes)
         used = np.flatnonzero(trainer.times)
         times = trainer.times[used].astype(float)
         values = trainer.network.rows[used] * times[:, None]

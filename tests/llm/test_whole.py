@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from doclith.llm import pseudo_likelihood
+from doclith.llm import pseudo_likelihood, tokens
 
 
 def test_vocabulary_of_tied_words(spark):
@@ -26,3 +27,17 @@ def test_words_outside_the_vocabulary_are_scored_by_their_count(spark):
     gain = lambda a, b: rows[a].log_likelihood - rows[b].log_likelihood
     assert len(model[1].hashes) == 4 and model[2].count() == 7
     assert abs(gain(100, 101) - np.log(271 / 31)) < 1e-4 and abs(gain(101, 102) - np.log(31)) < 1e-4 and abs(gain(102, 103) - np.log(2)) < 1e-4
+
+
+def test_training_covers_every_position_once(monkeypatch):
+    texts = ["one", "", *(" ".join(f"w{j}" for j in range(n)) for n in (2, 7, 500, 3000))]
+    (_, _, w), = tokens.chunks(pa.array(texts), letters=True)
+    found, counts = np.unique(w.hashes, return_counts=True)
+    known = pseudo_likelihood.vocabulary(found, counts.astype(float), len(w.hashes), len(found))
+    trained = []
+    monkeypatch.setattr(pseudo_likelihood.Trainer, "learn", lambda self, ids, at, classes: trained.append(at))
+    for turn in range(pseudo_likelihood.ROUNDS):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+        list(pseudo_likelihood._train(pseudo_likelihood.Network.new(known), known, turn)(iter([batch])))
+    assert sorted(np.concatenate(trained)) == sorted(pseudo_likelihood._padded(w, known)[1])
+    assert min(map(len, trained)) > 1500
