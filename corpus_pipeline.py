@@ -27,10 +27,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = tiling.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = keep(leaks.select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-leaks")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """Documents that hold a benchmark item go, each by its own text: rows may share an id, or have none."""
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select(F.struct(F.col("doc_id").alias("id"), digest.alias("digest")).alias("_of"), "text")
+    leaks = tiling.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_of")
+    found = keep(leaks.select(F.col("_of.id").alias("_gone"), F.col("_of.digest").alias("_digest")).distinct(), "pipeline-leaks")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_gone")) & (digest == F.col("_digest")), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

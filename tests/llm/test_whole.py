@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from doclith.llm import pseudo_likelihood, tokens
 
 
@@ -41,3 +42,12 @@ def test_training_covers_every_position_once(monkeypatch):
         list(pseudo_likelihood._train(pseudo_likelihood.Network.new(known), known, turn)(iter([batch])))
     assert sorted(np.concatenate(trained)) == sorted(pseudo_likelihood._padded(w, known)[1])
     assert min(map(len, trained)) > 1500
+
+
+def test_contamination_removes_rows_not_ids(spark, tmp_path):
+    item = "which of these seven planets has the largest number of known moons today"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, f"leaked: {item}"), (None, "a clean text without an id"), (None, None), (7, f"{item} again"), (7, "a clean text that shares its id"), (7, f"{item} again"), (8, "another clean text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.contamination(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, (rows[k] for k in (1, 2, 4, 6))))
