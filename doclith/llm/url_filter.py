@@ -6,7 +6,9 @@ of its two log-likelihoods by character, rejected minus accepted; the threshold
 the models have not seen. Counting, smoothing and scoring are joins and sums of distinct character sequences: their
 number follows the alphabet, hardly the input, and no model is collected.
 
-Labels are weak: an URL whose host holds one of REJECT_TERMS is rejected; one without, that no rule blocks, accepted.
+The models see the whole URL, its scheme, query and fragment too; rules see its host and path.
+
+Labels are weak: an URL that holds one of REJECT_TERMS anywhere is rejected; one without, that no rule blocks, accepted.
 
 Defined cases: an URL that is null or has no ``://`` has an empty host and path, fits no rule and is blocked; repeated
 URLs are scored once and each row gets the score; further columns stay, unless they have the name of a result; an
@@ -110,8 +112,9 @@ def judge(df: DataFrame, url: str = "url", rules: tuple[tuple[str, str], ...] =
     host, path = host_and_path(F.col(url))
     df = df.withColumns({"host": host, "path": path})
     rule, ruled = best_rule(F.col("host"), F.col("path"), rules)
-    df = df.withColumns({"rule": rule, "_ruled": ruled, "_text": F.concat("host", "path")})
-    suspect = F.col("host").rlike("|".join(reject_terms))
+    named = F.concat("host", "path") != ""
+    df = df.withColumns({"rule": rule, "_ruled": ruled, "_text": F.when(named, F.col(url)).otherwise(F.lit(""))})
+    suspect = F.translate("_text", UPPER, LOWER).rlike("|".join(reject_terms))
     label = F.when(suspect, F.lit("rejected")).when(F.coalesce(F.col("_ruled"), F.lit("")) != "block", F.lit("accepted"))
     texts = cut(df.where("_text != ''").groupBy("_text").agg(F.min(label).alias("_label")))
     model, scores = fit(texts)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from doclith.llm import pseudo_likelihood, tokens
+from doclith.llm import pseudo_likelihood, tokens, url_filter
 
 
 def test_vocabulary_of_tied_words(spark):
@@ -51,3 +53,12 @@ def test_contamination_removes_rows_not_ids(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = corpus_pipeline.contamination(spark, docs, str(tmp_path)).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, (rows[k] for k in (1, 2, 4, 6))))
+
+
+def test_url_models_see_the_query(spark):
+    chance = random.Random(2)
+    word = lambda: "".join(chance.choice("aeiostrn") for _ in range(6))
+    rows = [(i, f"http://x.org/r?to={word()}" if i % 3 else f"http://x.org/r?to=Casino-{word()}") for i in range(600)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert {(r.host, r.path, r.rule) for r in got.values()} == {("x.org", "/r", None)}
+    assert sum(got[i].verdict == ("allow" if i % 3 else "block") for i in range(600)) >= 590
