@@ -1,10 +1,12 @@
 """Personal data: patterns of four kinds, and identifiers that the contexts of those lead to.
 
 Base spans come from one regular expression a kind and a check. They are the seeds of a bootstrap: the words around
-them are lexical patterns; other tokens with digits or an ``@`` are candidates. A pattern is as trustworthy for a kind
+them are lexical patterns; other words with digits, an ``@`` or colons and runs of digits that single blanks join are
+candidates, if they have a kind's shape. A pattern is as trustworthy for a kind
 as the share of that kind's known instances among all instances seen in it; a candidate is as likely as its patterns
-together make it, and one that passes becomes known for the next round. Rounds are joins and sums over the graph of
-patterns and instances. A discovered span never touches a base span, and base spans stay.
+together make it, and one that passes becomes known for the next round, until a round adds none. Rounds are joins and sums over the graph of
+patterns and instances. A discovered span never touches a base span, and base spans stay; of discovered spans one
+inside the other the longer one counts.
 
 The expressions are written with possessive quantifiers and start only where a run starts, so that no text, however
 long its runs, takes more than linear time or deep recursion; they find what the plain ones find. All of it is
@@ -16,6 +18,8 @@ of the input that have the name of a result are replaced; an empty table gives a
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +43,12 @@ LINEAR = {
 }
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 WORD = r"[^\x20\x09-\x0D]"
-#: Words of five digits or more, and words with an @.
-CANDIDATE = rf"(?<!{WORD})(?:[^\x20\x09-\x0D0-9]*+(?:[0-9][^\x20\x09-\x0D0-9]*+){{5,}}+|[^\x20\x09-\x0D@]*+@{WORD}*+)"
-#: What a discovered instance of a kind can look like.
+#: Words with a digit, an @ or four colons: all that can have a shape below.
+CANDIDATE = rf"(?<!{WORD})(?:[^\x20\x09-\x0D0-9]*+[0-9]{WORD}*+|[^\x20\x09-\x0D@]*+@{WORD}*+|[^\x20\x09-\x0D:]*+(?::[^\x20\x09-\x0D:]*+){{4,}}+)"
+#: Runs of digits, brackets, dots and hyphens between them, that single blanks join.
+PIECE = r"\(?+[0-9]++(?:[().-]++[0-9]++)*+\)?+"
+RUN = rf"(?<![0-9A-Za-z@_.(+-]){PIECE}(?:\x20{PIECE})++"
+#: What a discovered instance of a kind can look like, blanks left out.
 SHAPES = {
     "email": r"^[^@]+@[^@]+$",
     "ip": r"^[0-9]{1,3}(?:[.:,-][0-9]{1,3}){3}(?::[0-9]{1,5})?$|^[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){4,7}$",
@@ -50,7 +57,6 @@ SHAPES = {
 }
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|="
 CONTEXT = 48  # code points on either side in which a context's words lie
-ROUNDS = 3
 SUPPORT = 3  # known instances that a pattern needs
 TRUST = 0.8  # of a pattern that is used
 ACCEPT = 0.95  # of a candidate
@@ -118,22 +124,24 @@ def _patterns(text: Column, start: Column, end: Column) -> Column:
 
 def _with_contexts(df: DataFrame) -> DataFrame:
     """Adds _seen to rows with _t and _base: (start, end, instance, kind or null, patterns) of base spans and candidates."""
-    df = df.withColumn("_found", _matches(F.col("_t"), CANDIDATE, F.col("_digits") | F.col("_t").contains("@")))
+    df = df.withColumn("_found", _matches(F.col("_t"), CANDIDATE, F.col("_digits") | F.col("_t").contains("@") | F.col("_t").contains(":")))
+    df = df.withColumn("_runs", _matches(F.col("_t"), RUN, F.col("_digits")))
     edge = lambda m: F.length(m["match"]) - F.length(F.ltrim(m["match"], F.lit(EDGES)))
     trimmed = F.transform("_found", lambda m: F.struct((m["start"] + edge(m)).alias("start"), F.btrim(m["match"], F.lit(EDGES)).alias("instance")))
-    spans = F.transform(trimmed, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["instance"])).alias("end"), F.lower(m["instance"]).alias("instance"), F.lit(None).cast("int").alias("kind")))
+    runs = F.transform("_runs", lambda m: F.struct(m["start"].alias("start"), m["match"].alias("instance")))
+    spans = F.transform(F.concat(trimmed, runs), lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["instance"])).alias("end"), F.lower(m["instance"]).alias("instance"), F.lit(None).cast("int").alias("kind")))
     free = F.filter(spans, lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])) & (F.length(m["instance"]) > 0))
     shaped = F.filter(free, lambda m: F.lit(False) if not SHAPES else _shape(m["instance"]).isNotNull())
     known = F.transform("_base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.lower(F.substring(F.col("_t"), b["start"] + 1, b["end"] - b["start"])).alias("instance"), b["kind"].alias("kind")))
     df = df.withColumn("_all", F.concat(known, shaped))
-    return df.withColumn("_seen", F.transform("_all", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["instance"].alias("instance"), m["kind"].alias("kind"), _patterns(F.col("_t"), m["start"], m["end"]).alias("patterns")))).drop("_found", "_all", "_digits")
+    return df.withColumn("_seen", F.transform("_all", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["instance"].alias("instance"), m["kind"].alias("kind"), _patterns(F.col("_t"), m["start"], m["end"]).alias("patterns")))).drop("_found", "_runs", "_all", "_digits")
 
 
 def _shape(instance: Column) -> Column:
     """The number of the first kind whose shape the instance has, else null."""
     out = F.lit(None).cast("int")
     for number, kind in reversed(list(enumerate(KINDS))):
-        out = F.when(instance.rlike(SHAPES[kind]), F.lit(number)).otherwise(out)
+        out = F.when(F.replace(instance, F.lit(" "), F.lit("")).rlike(SHAPES[kind]), F.lit(number)).otherwise(out)
     return out
 
 
@@ -144,15 +152,16 @@ def _read(docs: DataFrame, key: str, text: str) -> DataFrame:
     return keep(_with_contexts(_with_base(rows)).drop("_t"), "pii-spans")
 
 
-def _discovered(read: DataFrame, rounds: int) -> DataFrame:
-    """_k, _added: the spans that the bootstrap adds to the texts with that digest."""
+def _discovered(read: DataFrame, rounds: int | None) -> DataFrame:
+    """_k, _added: the spans that the bootstrap adds to the texts with that digest. Known instances only become more and so
+    do trusted patterns, so rounds end."""
     texts = read.where(F.size("_seen") > 0).dropDuplicates(["_k"])
     seen = texts.select("_k", F.explode("_seen").alias("m")).select("_k", "m.start", "m.end", "m.instance", F.coalesce("m.kind", _shape(F.col("m.instance"))).alias("kind"), F.col("m.kind").isNotNull().alias("base"), "m.patterns")
     seen = keep(seen, "pii-seen")
     graph = cut(seen.select("instance", "kind", "base", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance", "kind").agg(F.max("base").alias("base")))
     candidates = graph.where("NOT base").select("pattern", "instance", "kind")
     known = None
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         at = graph if known is None else graph.join(known.withColumn("_new", F.lit(True)), ["instance", "kind"], "left").withColumn("base", F.col("base") | F.coalesce("_new", F.lit(False)))
         by_kind = at.groupBy("pattern", "kind").agg(F.sum(F.col("base").cast("long")).alias("n"), F.count(F.lit(1)).alias("m"))
         every = by_kind.groupBy("pattern").agg(F.sum("m").alias("all"))
@@ -164,7 +173,9 @@ def _discovered(read: DataFrame, rounds: int) -> DataFrame:
             break
         known = now if known is None else cut(known.union(now).distinct())
     spans = seen.where("NOT base").join(known, ["instance", "kind"]).select("_k", F.struct("start", "kind", "end").alias("s"))
-    return spans.groupBy("_k").agg(F.sort_array(F.collect_set("s")).alias("_added"))
+    inside = lambda s, o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
+    found = spans.groupBy("_k").agg(F.sort_array(F.collect_set("s")).alias("_s"))
+    return found.select("_k", F.filter("_s", lambda s: ~F.exists("_s", lambda o: inside(s, o))).alias("_added"))
 
 
 def _named(spans: Column) -> Column:
@@ -176,7 +187,7 @@ def _none() -> Column:
     return F.expr(f"CAST(array() AS {SPAN})")
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int | None = None) -> DataFrame:
     """key, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_discovered of every document."""
     read = _read(docs, key, text)
     joined = read.join(_discovered(read, rounds), "_k", "left").withColumn("_added", F.coalesce("_added", _none()))
@@ -187,7 +198,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int =
     )
 
 
-def redact(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", rounds: int | None = None) -> DataFrame:
     """The input with each span replaced by its kind in brackets; where spans overlap, by that of the one that starts first."""
     read = _read(docs.select(F.lit(0).alias("_key"), F.col(text).alias("_text")), "_key", "_text")
     added = keep(_discovered(read, rounds), "pii-added")

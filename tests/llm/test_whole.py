@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from doclith.llm import pseudo_likelihood, tokens, url_filter
+from doclith.llm import pii, pseudo_likelihood, tokens, url_filter
 
 
 def test_vocabulary_of_tied_words(spark):
@@ -62,3 +62,20 @@ def test_url_models_see_the_query(spark):
     got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert {(r.host, r.path, r.rule) for r in got.values()} == {("x.org", "/r", None)}
     assert sum(got[i].verdict == ("allow" if i % 3 else "block") for i in range(600)) >= 590
+
+
+def test_bootstrap_takes_whole_identifiers_until_none_is_new(spark):
+    texts = [(i, f"reach me by telephone at +1 (437) 555-{1000 + i} today") for i in range(60)]
+    texts += [(100 + i, f"the host answers from 10.0.{i}.7 only") for i in range(60)]
+    texts += [(200, "reach me by telephone at (437) 555-0689 today"), (201, "reach me by telephone at 555 123 4567 today"), (202, "the host answers from 1-2-3-4 only")]
+    texts += [(300, "reach me by telephone at 555-867-5000 today")]
+    for k, w in enumerate(["alder", "birch", "cedar", "elder", "hazel"]):  # seven of nine instances are known, eight once the step before is done
+        texts += [(None, f"{w} {w} +1 (437) 556-{1000 + 10 * k + j} {w}") for j in range(7)]
+        texts += [(None, f"{w} {w} 555-867-{5000 + k} {w}"), (301 + k, f"{w} {w} 555-867-{5001 + k} {w}")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.find(df).collect()}
+    assert [rows[i].spans for i in (200, 201, 202)] == ["phone:25:39", "phone:25:37", "ip:22:29"]
+    few = {r.doc_id: r.spans for r in pii.find(df, rounds=3).collect()}
+    assert all(rows[301 + k].spans == "phone:12:24" for k in range(5))
+    assert [few[301 + k] for k in range(5)] == ["phone:12:24"] * 2 + [""] * 3
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()}[200] == "reach me by telephone at [PHONE] today"
