@@ -1,6 +1,7 @@
 """Licence scans: a trained classifier of paragraphs, with an unknown class, confirmed by comparison with templates.
 
-Paragraphs are lines, long ones in overlapping windows. Features are word n-grams, one to three words, of the templates;
+Paragraphs are blocks of lines that blank ones part. Lines are judged, long ones in overlapping windows, and so are windows
+that run on over the line breaks of a paragraph, so that wrapped notices are seen whole. Features are word n-grams, one to three words, of the templates;
 a window with fewer than GATE of the longest, licence words counted too, is no licence text. A multinomial logistic regression over them, trained on
 templates with words dropped, cut and set among other text, gives each family and a class of unknown texts (corpus
 paragraphs, other notices, shuffled templates) a probability. The threshold is calibrated on texts that it wasn't
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doclith.llm.shared import sampled
+from doclith.llm.tokens import _BLANK as BLANK
 from doclith.llm.tokens import U, Words, chunks, words
 
 # How notices of these families read.
@@ -217,6 +219,16 @@ def judge(model: Model, hashes: np.ndarray) -> tuple[str | None, float, float]:
     return (UNKNOWN, float(p[-1]), alike) if np.isin(model.alone, hashes).any() else (None, float(p[-1]), alike)
 
 
+def _windows(edges: np.ndarray, start: int, end: int) -> list[tuple[int, int]]:
+    """Of a paragraph, words start to end, with its lines' edges: windows within lines, and such as run on into the next."""
+    out = []
+    lines = edges[np.searchsorted(edges, start) : np.searchsorted(edges, end) + 1]
+    for s, e in zip(lines[:-1].tolist(), lines[1:].tolist(), strict=True):
+        out += [(at, min(at + WINDOW, e)) for at in range(s, max(s + 1, e - STRIDE), STRIDE)]
+        out += [(at, min(at + WINDOW, end)) for at in range(s, e, STRIDE) if e < min(at + WINDOW, end)]
+    return out
+
+
 def _scan(model: Model):
     signs = np.unique(np.concatenate([model.alone, *(t for texts in model.templates for t in texts)]))
     bits = 16
@@ -228,29 +240,38 @@ def _scan(model: Model):
         for batch in batches:
             for a, b, w in chunks(batch.column(1), letters=True):
                 breaks = np.flatnonzero(w.data == 10)
-                line = np.searchsorted(breaks, w.starts) + np.searchsorted(w.offsets[1:], w.starts, "right")  # grows by text and line
+                text = np.searchsorted(w.offsets[1:], w.starts, "right")
+                line = np.searchsorted(breaks, w.starts) + text  # grows by text and line
                 edges = np.flatnonzero(np.diff(line, prepend=-1, append=-2))
+                filled = np.cumsum(~BLANK[w.data])
+                blank = breaks[1:][filled[breaks[1:]] == filled[breaks[:-1]]]
+                block = np.searchsorted(blank, w.starts) + text
+                blocks = np.flatnonzero(np.diff(block, prepend=-1, append=-2))
                 hits = np.zeros(len(w.hashes) + 1, np.int64)
                 for grams, at in ((w.hashes, np.arange(len(w.hashes))), w.grams(NGRAMS)):
                     likely = np.flatnonzero(maybe[(grams & U((1 << bits) - 1)).astype(int)])
                     place = np.minimum(np.searchsorted(signs, grams[likely]), len(signs) - 1)
                     np.add.at(hits, at[likely[signs[place] == grams[likely]]] + 1, 1)
                 sums = np.cumsum(hits)
-                starts, ends = edges[:-1], edges[1:]
                 found: dict[tuple[int, str], list] = {}
-                likely = sums[ends] - sums[starts] >= GATE
-                for s, e in zip(starts[likely], ends[likely], strict=True):
+                likely = sums[blocks[1:]] - sums[blocks[:-1]] >= GATE
+                for s, e in zip(blocks[:-1][likely], blocks[1:][likely], strict=True):
                     text = int(np.searchsorted(w.bounds, s, "right") - 1)
-                    order = int(np.searchsorted(starts, s) - np.searchsorted(starts, w.bounds[text]))
+                    order = int(np.searchsorted(blocks, s) - np.searchsorted(blocks, w.bounds[text]))
                     seen: dict[str, tuple[float, float]] = {}
-                    for at in range(s, max(s + 1, e - STRIDE), STRIDE):
-                        if sums[min(at + WINDOW, e)] - sums[at] < GATE:
+                    named, unknown = [], []
+                    for at, upto in _windows(edges, s, e):
+                        if sums[upto] - sums[at] < GATE:
                             continue
-                        family, p, alike = judge(model, w.hashes[at : min(at + WINDOW, e)])
-                        if family:
+                        family, p, alike = judge(model, w.hashes[at:upto])
+                        if family == UNKNOWN:
+                            unknown.append((at, upto, p, alike))
+                        elif family:
+                            named.append((at, upto))
                             seen[family] = max(seen.get(family, (0.0, 0.0)), (p, alike))
-                    if len(seen) > 1:
-                        seen.pop(UNKNOWN, None)
+                    for at, upto, p, alike in unknown:  # what overlaps a family's window is a piece of its notice
+                        if not any(first < upto and at < last for first, last in named):
+                            seen[UNKNOWN] = max(seen.get(UNKNOWN, (0.0, 0.0)), (p, alike))
                     for family, (p, alike) in seen.items():
                         one = found.setdefault((text, family), [0, order, p, alike])
                         one[0], one[2], one[3] = one[0] + 1, max(one[2], p), max(one[3], alike)
@@ -270,7 +291,7 @@ def background(docs: DataFrame, text: str = "text", most: int = BACKGROUND) -> l
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
-    """key, family, n_paragraphs, first_paragraph (from 0, blank ones not counted), probability, likeness: a row for each
+    """key, family, n_paragraphs, first_paragraph (from 0), probability, likeness: a row for each
     document and family that it names."""
     model = model or train(background(docs, text))
     kind = docs.schema[key].dataType.simpleString()

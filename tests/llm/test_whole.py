@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+import textwrap
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from doclith.llm import pii, pseudo_likelihood, tokens, url_filter
+from doclith.llm import license_scan, pii, pseudo_likelihood, tokens, url_filter
 
 
 def test_vocabulary_of_tied_words(spark):
@@ -79,3 +80,16 @@ def test_bootstrap_takes_whole_identifiers_until_none_is_new(spark):
     assert all(rows[301 + k].spans == "phone:12:24" for k in range(5))
     assert [few[301 + k] for k in range(5)] == ["phone:12:24"] * 2 + [""] * 3
     assert {r.doc_id: r.text for r in pii.redact(df).collect()}[200] == "reach me by telephone at [PHONE] today"
+
+
+def test_wrapped_notices(spark):
+    families = ("GPL-3.0", "LGPL", "AGPL-3.0", "BSD", "Apache-2.0", "MPL-2.0")
+    notices = [(f, max(license_scan.TEMPLATES[f], key=len)) for f in families]
+    texts = [(f, "\n".join(textwrap.wrap(t, width))) for f, t in notices for width in (30, 72)]
+    bsd = next(t for ts in license_scan.TEMPLATES.values() for t in ts if t.startswith("Redistribution"))
+    own = next(f for f, ts in license_scan.TEMPLATES.items() if bsd in ts)
+    texts += [(own, bsd.replace("with or without ", "with or without\n")), (own, f"A line above.\n{bsd[:60]}\r\n{bsd[60:]}\nA line below.")]
+    texts += [(None, bsd.replace(" ", "\n \t\n"))]  # blank lines part paragraphs
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.family, r.n_paragraphs) for r in license_scan.scan(df).collect()}
+    assert got == {(i, f, 1) for i, (f, _) in enumerate(texts) if f}, got
