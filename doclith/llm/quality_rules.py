@@ -1,7 +1,8 @@
 """Quality rules: a table of thresholds compiled into one projection.
 
 Every measure is an integer, and every rule compares integers crosswise (``100 * part <= percent * whole``), so that
-any engine reaches the same verdicts. There is no user function, no shuffle and no state: a document is judged alone.
+any engine reaches the same verdicts. The rule on stop words holds for documents whose ``lang`` is one of LANGUAGES, null
+or no column; it says nothing about others. There is no user function, no shuffle and no state: a document is judged alone.
 
 Defined cases: null and blank texts have no words and fail; null doc_ids pass through; repeated rows are judged
 each; further columns of the input are kept by :func:`judge` unless they have the name of a measure, in which case
@@ -25,6 +26,8 @@ au avec ce dans de des du elle en est et il la le les pas par pour que qui se su
 al como con de del el en es la las lo los más no para por que se su un una y
 """.split()
 
+#: Those of the stop words.
+LANGUAGES = ("en", "de", "fr", "es")
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 
@@ -38,6 +41,7 @@ class Rule:
     whole: str | None = None
     low: int | None = None
     high: int | None = None
+    spoken: bool = False  # for documents in LANGUAGES only
 
     def sides(self) -> list[tuple[str, str, str]]:
         left = f"100 * {self.part}" if self.whole else self.part
@@ -55,15 +59,18 @@ RULES = (
     Rule("word length", "word_chars", "n_words", low=200, high=1000),
     Rule("symbols", "n_symbols", "n_words", high=10),
     Rule("exclamations", "n_exclaims", "n_words", high=50),
-    Rule("stop words", "(n_stop_words + 1)", "n_words", low=5),
+    Rule("stop words", "(n_stop_words + 1)", "n_words", low=5, spoken=True),
     Rule("repeated lines", "n_dup_lines", "n_lines", high=50),
 )
 STEPS = ("_q_words", "_q_lines", "_q_h", "_q_g", "_q_s", "_q_at")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaims", "n_stop_words")
 
 
-def passes(rules: tuple[Rule, ...]) -> Column:
-    return F.expr(" AND ".join(f"({r.sql()})" for r in rules))
+def passes(rules: tuple[Rule, ...], lang: Column | None = None) -> Column:
+    """Whether all rules hold; ``lang`` such as ``de`` or ``de-AT``."""
+    every = lambda spoken: F.expr(" AND ".join(f"({r.sql()})" for r in rules if r.spoken == spoken) or "true")
+    known = F.lit(True) if lang is None else F.coalesce(F.regexp_extract(F.lower(lang.cast("string")), "^[a-z]*", 0).isin(*LANGUAGES, ""), F.lit(True))
+    return every(False) & (every(True) | ~known)
 
 
 def _fingerprints() -> Column:
@@ -105,7 +112,8 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
 
 def judge(df: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """:func:`measured` and the verdicts: base_failed, kept."""
-    return measured(df, text).withColumns({"base_failed": ~passes(base), "kept": passes((*base, *rules))})
+    lang = F.col("lang") if "lang" in df.columns else None
+    return measured(df, text).withColumns({"base_failed": ~passes(base, lang), "kept": passes((*base, *rules), lang)})
 
 
 def passing(df: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -116,7 +124,8 @@ def passing(df: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, ru
     """
     judged = measured(df.select(packed(df), F.col(text).alias("text")))
     numbered = judged.withColumn("at", F.monotonically_increasing_id())
-    return numbered.where(passes((*base, *rules)) & (F.col("at") >= 0)).select("own.*")
+    lang = F.col("own")["lang"] if "lang" in df.columns else None
+    return numbered.where(passes((*base, *rules), lang) & (F.col("at") >= 0)).select("own.*")
 
 
 def oracle_sql(table: str = "documents") -> str:

@@ -47,8 +47,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_rules.judge(docs).drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality_rules.judge(docs).drop("lang", "text")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from doclith.llm import license_scan, pii, pseudo_likelihood, tokens, url_filter
+from doclith.llm import license_scan, pii, pseudo_likelihood, quality_rules, tokens, url_filter
 
 
 def test_vocabulary_of_tied_words(spark):
@@ -93,3 +93,13 @@ def test_wrapped_notices(spark):
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
     got = {(r.doc_id, r.family, r.n_paragraphs) for r in license_scan.scan(df).collect()}
     assert got == {(i, f, 1) for i, (f, _) in enumerate(texts) if f}, got
+
+
+def test_stop_words_are_asked_of_listed_languages_only(spark):
+    russian = "Сегодня утром пришла хорошая погода поэтому соседи решили поехать вместе далеко загород чтобы собирать грибы ягоды потом варить варенье пить горячий чай"
+    names = "Paris London Berlin Madrid Vienna Lisbon Dublin Warsaw Prague Athens Oslo Rome Bern Riga Minsk Kyiv Sofia Tirana Skopje Ankara Cairo Tunis Algiers Rabat"
+    rows = [(0, russian, "ru"), (1, names, "pl"), (2, names, "en"), (3, names, "de-AT"), (4, names, None), (5, "zwei Worte", "ru")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {0, 1}
+    assert {r.doc_id for r in quality_rules.judge(df).where("kept").collect()} == want == {r.doc_id for r in quality_rules.passing(df).collect()}
+    assert quality_rules.passing(df.drop("lang")).count() == 0
