@@ -2,20 +2,28 @@
 
 Two documents link if their sets' Jaccard similarity is ``percent`` or more. With every set in one order, rare shingles
 first, sets that link share a shingle among the first few of both (the prefix), their sizes are near each other
-(length filter), what follows the first shared shingle is long enough (positional filter) and spread alike over
-sections of the hash range (suffix filter). The pairs that are left are verified, once each, on the whole sets.
+(length filter), what follows the first shared shingle is long enough (positional filter), and a lower bound of the
+Hamming distance between what the two hold is small enough (suffix filter). The pairs that are left are verified, once
+each, on the whole sets.
+
+The suffix filter's bound comes from parity sketches: a bit a section of the hash range, one to two bits a shingle, says
+whether the set has an odd number of shingles there. Where two sketches differ, the sets differ in a shingle at least. A
+sketch is some forty times smaller than its set, so that sets travel only for pairs that are nearly sure to link.
 
 Equal sets are one class from the start. What is asked for is the classes' components, so two shortcuts lose nothing:
 in a bucket (the classes with a given prefix shingle) all are first compared with one pivot, and pairs that are
 already connected need no comparison. Only pairs of a bucket that are still apart after PIVOT_ROUNDS are compared all.
 
 Frequencies are counted over the whole table, of words and of shingles that are repeated nearby (in a reader's block of
-documents), in 2**WORD_BITS and 2**SHINGLE_BITS sections of their hashes. A shingle's rank is first how far its section is
-above the mean, as one that many documents share is, and then the product of its words' frequencies. Any fixed order is right; one nearer to the true frequencies makes fewer pairs. Words and shingles are compared by 64-bit hashes, classes by 128 bits.
+documents), in 2**WORD_BITS and 2**SHINGLE_BITS sections of their hashes. A shingle's rank is first how far its section
+is above the mean, as one that many documents share is, and then the product of its words' frequencies. Any fixed order
+is right; one nearer to the true frequencies makes fewer pairs. Words and shingles are compared by 64-bit hashes,
+classes by 128 bits; a class's node is one half of these, and the other half where two classes share the first.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null and blank texts have no shingles and link with
 nothing, themselves included; null ids take part, and a component of null ids alone has a null id; repeated rows are
-one class; further columns do not matter; an empty table gives an empty table.
+one class; ids are of any type that has an order; equally rare shingles are in order of their hashes; a very long text
+is a chunk of its own, and its sketch grows with it; further columns do not matter; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from doclith.llm import members
 from doclith.llm.components import components
@@ -36,8 +43,6 @@ from doclith.llm.tokens import U, Words, chunks, lists, mix
 
 WORD_BITS, SHINGLE_BITS = 17, 18
 BLOCK = 1 << 21  # shingles in which repeated ones are found at once
-SUFFIX_BITS = 6  # sections of the hash range whose counts the suffix filter compares
-LARGE = 1 << 20  # shingles from which a set's counts don't fit, and the suffix filter lets it pass
 PIVOT_ROUNDS = 2
 TOKEN_BITS = 24  # of the set of shared tokens: 2 MB
 
@@ -86,11 +91,14 @@ def _total(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
-def _identity(grams: np.ndarray, bounds: np.ndarray, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two signatures of each set, and a hash of the row's set and id."""
-    first, second = (mix(_total(mix(grams ^ U(s)), bounds) + U(s)) for s in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
-    ids = np.asarray(keys.fill_null(-0x123456789ABCDEF), np.int64).view(U)
-    return first, second, mix(first + mix(ids))
+def _signatures(grams: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Two of each set, 128 bits that equal sets share."""
+    return [mix(_total(mix(grams ^ U(s)), bounds) + U(s)) for s in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+
+
+def _nodes(s1: np.ndarray, s2: np.ndarray, twins: np.ndarray) -> np.ndarray:
+    """The classes' names: the first signature, or the second where other classes have that first one too."""
+    return np.where(np.isin(s1, twins), s2, s1)
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -122,59 +130,67 @@ class _Frequencies:
 
 
 def _describe(k: int):
-    """Rows of documents (key, n, s1, s2, row), then of sections (section, n)."""
+    """Rows of documents (key, a, b, n, s1, s2), then of sections (section, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts = ["key", "n", "s1", "s2", "row", "section"], _Frequencies()
+        names, counts, kind = ["key", "a", "b", "n", "s1", "s2", "section"], _Frequencies(), None
         for batch in batches:
-            for a, b, w in chunks(batch.column(1)):
-                keys = batch.column(0).slice(a, b - a)
+            kind = batch.column(0).type
+            for x, y, w in chunks(batch.column(1)):
                 grams, bounds = _sets(w, k)
                 counts.add(w.hashes, grams)
-                s1, s2, row = _identity(grams, bounds, keys)
-                yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(bounds)), _long(s1), _long(s2), _long(row), pa.nulls(b - a, pa.int32())], names)
-        counts.close()
-        used = np.flatnonzero(counts.seen)
-        none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(counts.seen[used]), none, none, none, pa.array(used.astype(np.int32))], names)
+                s1, s2 = _signatures(grams, bounds)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(x, y - x) for i in (0, 2, 3)), pa.array(np.diff(bounds)), _long(s1), _long(s2), pa.nulls(y - x, pa.int32())], names)
+        if kind is not None:
+            counts.close()
+            used = np.flatnonzero(counts.seen)
+            none = pa.nulls(len(used), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), kind), none, none, pa.array(counts.seen[used]), none, none, pa.array(used.astype(np.int32))], names)
 
     return run
 
 
-def _prefixes(k: int, percent: int, ranks: np.ndarray):
-    """row, n and the prefix of each document: its first shingles, rare ones first."""
+def _prefixes(k: int, percent: int, ranks: np.ndarray, repeated: np.ndarray, twins: np.ndarray):
+    """a, b, node, n, whether other rows may have the set, and the prefix of each document: its first shingles, rare ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, w in chunks(batch.column(1)):
+            for x, y, w in chunks(batch.column(1)):
                 grams, bounds = _sets(w, k, ranks)
-                _, _, row = _identity(grams, bounds, batch.column(0).slice(a, b - a))
+                s1, s2 = _signatures(grams, bounds)
                 n = np.diff(bounds)
                 text = np.repeat(np.arange(len(n)), n)
                 length = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 inside = np.arange(len(grams)) - bounds[text] < length[text]
-                yield pa.RecordBatch.from_arrays([_long(row), pa.array(n), lists(grams[inside], np.concatenate([[0], np.cumsum(length)]))], ["row", "n", "prefix"])
+                columns = [batch.column(i).slice(x, y - x) for i in (2, 3)]
+                columns += [_long(_nodes(s1, s2, twins)), pa.array(n.astype(np.int32)), pa.array(members.may_hold(repeated, s1))]
+                yield pa.RecordBatch.from_arrays([*columns, lists(grams[inside], np.concatenate([[0], np.cumsum(length)]))], ["a", "b", "node", "n", "repeated", "prefix"])
 
     return run
 
 
-def _whole_sets(k: int, rows: np.ndarray):
-    """row, shingles and their number by section, of the documents that may be in ``rows``."""
+def _sketches(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's parities as 64-bit words, and the sets' bounds in them: 64 bits or the power of two that is n or more."""
+    n = np.diff(bounds)
+    bits = np.left_shift(1, np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)))
+    first = np.concatenate([[0], np.cumsum(bits)])
+    text = np.repeat(np.arange(len(n)), n)
+    place = first[text] + (grams & (bits[text] - 1).astype(U)).astype(np.int64)
+    odd = np.bincount(place, minlength=int(first[-1])) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U), first >> 6
+
+
+def _whole_sets(k: int, wanted: np.ndarray, repeated: np.ndarray, twins: np.ndarray):
+    """node, n, whether other rows may have the set, sketch and shingles of the rows whose number ``a`` may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, w in chunks(batch.column(1)):
+            asked = members.may_hold(wanted, batch.column(2).to_numpy())
+            for x, y, w in chunks(batch.column(1).filter(pa.array(asked))):
                 grams, bounds = _sets(w, k)
-                _, _, row = _identity(grams, bounds, batch.column(0).slice(a, b - a))
-                hit = np.flatnonzero(members.may_hold(rows, row) & (np.diff(bounds) > 0))
-                for part in np.array_split(hit, max(1, len(hit) // 256)):
-                    if not len(part):
-                        continue
-                    sets = [grams[bounds[i] : bounds[i + 1]] for i in part]
-                    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-                    spread = [np.bincount((s >> U(64 - SUFFIX_BITS)).astype(np.int64), minlength=1 << SUFFIX_BITS) if len(s) < LARGE else np.full(1 << SUFFIX_BITS, 32767) for s in sets]
-                    counts = pa.ListArray.from_arrays(pa.array((np.arange(len(part) + 1) << SUFFIX_BITS).astype(np.int32)), pa.array(np.concatenate(spread).astype(np.int16)))
-                    yield pa.RecordBatch.from_arrays([_long(row[part]), lists(np.concatenate(sets), ends), counts], ["row", "shingles", "spread"])
+                s1, s2 = _signatures(grams, bounds)
+                columns = [_long(_nodes(s1, s2, twins)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(members.may_hold(repeated, s1))]
+                yield pa.RecordBatch.from_arrays([*columns, lists(*_sketches(grams, bounds)), lists(grams, bounds)], ["node", "n", "repeated", "sketch", "shingles"])
 
     return run
 
@@ -190,58 +206,63 @@ def _may_link(percent: int, x: str = "", y: str = "o_") -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (1 + F.least(n - i, m - j) >= _least(percent, n, m))
 
 
-def _spread_alike(least: Column, n: Column, m: Column, p: str, q: str) -> Column:
-    """Suffix filter: sets share no more than the lesser counts of each section of the hash range allow."""
-    shared = F.aggregate(F.zip_with(p, q, lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda a, x: a + x)
-    return (F.greatest(n, m) >= LARGE) | (shared >= least)
+def _distance(p: Column, q: Column) -> Column:
+    """A lower bound of the number of shingles that one set has and the other hasn't, from their sketches; 0 where one
+    sketch is over twice the other. The longer one is folded: sections of the shorter are two of its own."""
+    size = F.least(F.size(p), F.size(q))
+    at = lambda x, i: F.when(F.size(x) > size, F.get(x, i).bitwiseXOR(F.get(x, i + size))).otherwise(F.get(x, i))
+    apart = F.aggregate(F.sequence(F.lit(0), size - 1), F.lit(0), lambda a, i: a + F.bit_count(at(p, i).bitwiseXOR(at(q, i))))
+    return F.when(F.greatest(F.size(p), F.size(q)) <= 2 * size, apart).otherwise(0)
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that pass the suffix filter. Sketches travel here, no sets."""
+    side = lambda c, x: members.filtered(sets.select(F.col("node").alias(c), F.col("n").alias(f"_n{x}"), F.col("sketch").alias(f"_s{x}")), c, members.collect(pairs, c))
+    n = F.col("_nu") + F.col("_nv")
+    both = pairs.join(side("u", "u"), "u").join(side("v", "v"), "v")
+    return both.where(_distance(F.col("_su"), F.col("_sv")) <= n - 2 * _least(percent, F.col("_nu"), F.col("_nv"))).select("u", "v")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v of the pairs (u, v) that link. Sets of other rows are left out before the joins: of v there may be few."""
-    side = lambda c: members.filtered(sets, "row", members.collect(pairs, c)).dropDuplicates(["row"])
-    a = side("u").select(F.col("row").alias("u"), F.col("shingles").alias("s"), F.col("spread").alias("p"))
-    b = side("v").select(F.col("row").alias("v"), F.col("shingles").alias("t"), F.col("spread").alias("q"))
-    both = pairs.join(a, "u").join(b, "v")
-    least = _least(percent, F.size("s"), F.size("t"))
-    links = F.when(_spread_alike(least, F.size("s"), F.size("t"), "p", "q"), F.size(F.array_intersect("s", "t")) >= least).otherwise(False)
-    return both.where(links).select("u", "v")
+    """u, v of the pairs (u, v) that link. Sets of other rows are left out before the joins: there may be few pairs."""
+    side = lambda c, x: members.filtered(sets.select(F.col("node").alias(c), F.col("shingles").alias(x)), c, members.collect(pairs, c))
+    both = pairs.join(side("u", "s"), "u").join(side("v", "t"), "v")
+    return both.where(F.size(F.array_intersect("s", "t")) >= _least(percent, F.size("s"), F.size("t"))).select("u", "v")
 
 
-def _met(apart: DataFrame, others: DataFrame, percent: int, spread: bool = False) -> DataFrame:
+def _met(apart: DataFrame, others: DataFrame, percent: int, once: bool = False) -> DataFrame:
     """Pairs (u, v) of entries that share a token with one of the others, v, aren't connected and may link."""
-    others = others.select(F.col("token").alias("_token"), *(F.col(c).alias(f"o_{c}") for c in ("row", "n", "pos", "label", *["spread"] * spread)))
+    others = others.select(F.col("token").alias("_token"), *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "pos", "label")))
     may = (F.col("label") != F.col("o_label")) & _may_link(percent)
-    if spread:
-        may = (F.col("row") < F.col("o_row")) & may & _spread_alike(_least(percent, F.col("n"), F.col("o_n")), F.col("n"), F.col("o_n"), "spread", "o_spread")
+    may = (F.col("node") < F.col("o_node")) & may if once else may
     met = apart.join(others, (F.col("token") == F.col("_token")) & may)
-    return met.select(F.col("row").alias("u"), F.col("o_row").alias("v")).distinct()
+    return met.select(F.col("node").alias("u"), F.col("o_node").alias("v")).distinct()
 
 
 def _links(entries: DataFrame, sets: DataFrame, percent: int, drafts: Drafts) -> DataFrame:
-    """Links (u, v) that connect whatever the classes' links connect. entries: token, row, n, pos, of shared tokens."""
+    """Links (u, v) that connect whatever the classes' links connect. entries: token, node, n, pos, of shared tokens."""
     found = done = None
-    apart = entries.withColumn("label", F.col("row"))
+    apart = entries.withColumn("label", F.col("node"))
     for turn in range(PIVOT_ROUNDS + 1):
         # At first the pivot has the token earliest: it has the fewest shingles of its own, as an original among copies.
-        order = F.struct(F.col("pos") if turn == 0 else F.lit(0).alias("pos"), F.xxhash64("row", F.lit(turn)).alias("h"), "row", "n", F.col("pos").alias("at"), "label")
+        order = F.struct(F.col("pos") if turn == 0 else F.lit(0).alias("pos"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", F.col("pos").alias("at"), "label")
         buckets = apart.groupBy("token").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.min(order).alias("_p")).where("_low < _high")
         if turn < PIVOT_ROUNDS:
-            pairs = _met(apart, buckets.select("token", "_p.row", "_p.n", F.col("_p.at").alias("pos"), "_p.label"), percent)
+            pairs = _met(apart, buckets.select("token", "_p.node", "_p.n", F.col("_p.at").alias("pos"), "_p.label"), percent)
         else:
-            mixed = apart.join(buckets.select(F.col("token").alias("_in")), F.col("token") == F.col("_in"), "left_semi")
-            spread = members.filtered(sets, "row", members.collect(mixed, "row")).select(F.col("row").alias("_of"), "spread").dropDuplicates(["_of"])
-            mixed = drafts.keep(mixed.join(spread, F.col("row") == F.col("_of")).drop("_of"), "jaccard-mixed")
-            pairs = _met(mixed, mixed, percent, spread=True)
+            mixed = drafts.keep(apart.join(buckets.select(F.col("token").alias("_in")), F.col("token") == F.col("_in"), "left_semi"), "jaccard-mixed")
+            pairs = _met(mixed, mixed, percent, once=True)
         if done is not None:
             pairs = pairs.join(done, (F.least("u", "v") == F.col("_a")) & (F.greatest("u", "v") == F.col("_b")), "left_anti")
         pairs = drafts.keep(pairs, "jaccard-pairs")
         both = pairs.select(F.least("u", "v").alias("_a"), F.greatest("u", "v").alias("_b"))
         done = both if done is None else done.union(both)
-        more = drafts.keep(_verified(pairs, sets, percent), "jaccard-links")
+        likely = drafts.keep(_likely(pairs, sets, percent), "jaccard-likely")
+        more = drafts.keep(_verified(likely, sets, percent), "jaccard-links")
         found = more if found is None else found.union(more)
         if turn < PIVOT_ROUNDS and not more.isEmpty():
             label = components(found).select(F.col("node").alias("_node"), F.col("component").alias("_label"))
-            apart = cut(entries.join(label, F.col("row") == F.col("_node"), "left").select("token", "row", "n", "pos", F.coalesce("_label", "row").alias("label")))
+            apart = cut(entries.join(label, F.col("node") == F.col("_node"), "left").select("token", "node", "n", "pos", F.coalesce("_label", "node").alias("label")))
     return found
 
 
@@ -262,62 +283,75 @@ def _shared(entries: DataFrame, percent: int, drafts: Drafts) -> DataFrame:
     return drafts.keep(likely.join(bucket, may).select(*entries.columns), "jaccard-shared")
 
 
+def _numbers(key: str, text: str) -> dict[str, Column]:
+    """a and b: 128 bits that rows equal in key and text share."""
+    key, text = F.col(key), F.col(text).cast("string")
+    return {"a": F.xxhash64(key, text), "b": F.xxhash64(text, key, F.lit(1))}
+
+
+def _entries(prefixes: DataFrame, kinds: DataFrame) -> DataFrame:
+    """token, node, n, pos of one row of each class: only rows whose set may be there again are looked up."""
+    first = kinds.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    taken = prefixes.where("repeated").join(first, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_semi")
+    every = prefixes.where("NOT repeated").unionByName(taken).select("node", "n", F.posexplode("prefix").alias("at", "token"))
+    return every.select("token", "node", "n", (F.col("at") + 1).alias("pos"))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
-    """key, n_shingles, component_id, row, kept_row of every document.
+    """key, n_shingles, component_id, a, b, kept_a, kept_b of every document.
 
-    component_id is the smallest key of the component; row is a hash of set and key, and kept_row that of the row with
-    the component's smallest key.
+    component_id is the smallest key of the component; a and b are the row's number, of key and text, and kept_a and
+    kept_b that of the row with the component's smallest key.
     """
-    plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    told = keep(plain.mapInArrow(_describe(k), "key long, n long, s1 long, s2 long, row long, section int"), "jaccard-sets")
+    spark = docs.sparkSession
+    first, second = Drafts(spark), Drafts(spark)
+    plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), *(c.alias(name) for name, c in _numbers(key, text).items()))
+    kind = plain.schema["key"].dataType.simpleString()
+    told = keep(plain.mapInArrow(_describe(k), f"key {kind}, a long, b long, n long, s1 long, s2 long, section int"), "jaccard-sets")
     seen = np.zeros((1 << WORD_BITS) + (1 << SHINGLE_BITS), np.int64)
     by_section = told.where("section IS NOT NULL").groupBy("section").agg(F.sum("n").alias("n")).toArrow()  # as many rows as sections
     seen[by_section["section"].to_numpy()] = by_section["n"].to_numpy()
     del by_section
     rows = told.where("section IS NULL").drop("section")
-    kinds = keep(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct(F.col("key").isNull().alias("z"), "key", "row")).alias("_m"), F.min("key").alias("first")).select("s1", "s2", "n", F.col("_m.row").alias("node"), "first"), "jaccard-classes")
-    prefixes = plain.mapInArrow(_prefixes(k, percent, _ranks(seen)), "row long, n long, prefix array<long>")
-    entries = prefixes.join(kinds.select(F.col("node").alias("_node")), F.col("row") == F.col("_node"), "left_semi").select("row", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token")).select("token", "row", "n", (F.col("at") + 1).alias("pos"))
-    first, second = Drafts(docs.sparkSession), Drafts(docs.sparkSession)
-    entries = _shared(first.keep(entries, "jaccard-prefixes"), percent, first)
+    least = F.min(F.struct(F.col("key").isNull().alias("z"), "key", "a", "b"))
+    kinds = rows.where("n > 0").groupBy("s1", "s2", "n").agg(least.alias("_m"), (F.count(F.lit(1)) > 1).alias("repeated"))
+    kinds = keep(kinds.select("s1", "s2", "n", "repeated", F.col("_m.key").alias("key"), "_m.a", "_m.b"), "jaccard-classes")
+    # Of 10**10 classes about three pairs share 64 bits.
+    twins = np.array([r["s1"] for r in kinds.groupBy("s1").count().where("count > 1").select("s1").collect()], np.int64)
+    kinds = kinds.withColumn("node", F.when(F.col("s1").isin(*map(int, twins)), F.col("s2")).otherwise(F.col("s1")) if len(twins) else F.col("s1"))
+    twins, repeated = twins.view(U), members.collect(kinds.where("repeated"), "s1")
+    prefixes = first.keep(plain.mapInArrow(_prefixes(k, percent, _ranks(seen), repeated, twins), "a long, b long, node long, n int, repeated boolean, prefix array<long>"), "jaccard-prefixes")
+    entries = _shared(_entries(prefixes, kinds), percent, first)
     entries = second.keep(_shared(entries, percent, first).distinct(), "jaccard-entries")
     first.remove()
-    sets = second.keep(plain.mapInArrow(_whole_sets(k, members.collect(entries, "row")), "row long, shingles array<long>, spread array<short>"), "jaccard-wholes")
+    asked = kinds.join(entries.select(F.col("node").alias("_node")), F.col("node") == F.col("_node"), "left_semi")
+    wholes = second.keep(plain.mapInArrow(_whole_sets(k, members.collect(asked, "a"), repeated, twins), "node long, n int, repeated boolean, sketch array<long>, shingles array<long>"), "jaccard-wholes")
+    sets = wholes.where("NOT repeated").unionByName(second.keep(wholes.where("repeated").dropDuplicates(["node"]), "jaccard-repeated"))
     label = keep(components(_links(entries, sets, percent, second)).select(F.col("node").alias("_node"), "component"), "jaccard-components")
     second.remove()
     named = kinds.join(label, F.col("node") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "node"))
-    order = F.struct(F.col("first").isNull().alias("z"), "first", "node")
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"), F.min(order)["node"].alias("kept_row"))
-    named = named.join(least, "component").select("s1", "s2", "n", "component_id", "kept_row")
+    kept = named.groupBy("component").agg(least.alias("_m")).select("component", F.col("_m.key").alias("component_id"), F.col("_m.a").alias("kept_a"), F.col("_m.b").alias("kept_b"))
+    named = named.join(kept, "component").select("s1", "s2", "n", "component_id", "kept_a", "kept_b")
     out = rows.join(named, ["s1", "s2", "n"], "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"), "row", F.when(F.col("n") > 0, F.col("kept_row")).otherwise(F.col("row")).alias("kept_row"))
-
-
-def _tagged(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, w in chunks(batch.column(2)):
-                part = batch.slice(a, b - a)
-                _, _, row = _identity(*_sets(w, k), part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), _long(row), pa.array(np.diff(w.bounds) > 0)], ["own", "_row", "_worded"])
-
-    return run
+    own = lambda c, other: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col(other))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own("component_id", "key").alias("component_id"), "a", "b", own("kept_a", "a").alias("kept_a"), own("kept_b", "b").alias("kept_b"))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
-    """The input with one row of each component, that of the smallest key; of rows that are equal in key and set, one.
+    """The input with one row of each component, that of the smallest key; of rows that are equal in key and text, one.
 
-    Texts are moved only where a row is there more than once.
+    Texts of rows that stay are moved only where a row may be there more than once.
     """
-    found = keep(classes(docs, key, text, k, percent).where("n_shingles > 0"), "jaccard-found")
-    gone = keep(found.where("row != kept_row").select(F.col("row").alias("_row")).distinct(), "jaccard-gone")
-    twice = keep(found.where("row = kept_row").groupBy(F.col("row").alias("_row")).count().where("count > 1").select("_row"), "jaccard-twice")
-    plain = docs.select(packed(docs), F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    schema = T.StructType([plain.schema["own"], T.StructField("_row", T.LongType()), T.StructField("_worded", T.BooleanType())])
-    kept = plain.mapInArrow(_tagged(k), schema).join(gone, "_row", "left_anti")
-    if not twice.isEmpty():
-        again = kept.where("_worded").join(twice, "_row", "left_semi").dropDuplicates(["_row"])
-        kept = kept.where("NOT _worded").unionByName(kept.where("_worded").join(twice, "_row", "left_anti")).unionByName(again)
+    found = keep(classes(docs, key, text, k, percent).where("n_shingles > 0").select("a", "b", "kept_a", "kept_b"), "jaccard-found")
+    gone = (F.col("a") != F.col("kept_a")) | (F.col("b") != F.col("kept_b"))
+    told = found.groupBy("a", "b").agg(F.bool_or(gone).alias("_gone"), F.count(F.lit(1)).alias("_n")).where("_gone OR _n > 1")
+    told = keep(told.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "_gone"), "jaccard-told")
+    own = docs.select(packed(docs), *(c.alias(name) for name, c in _numbers(key, text).items()))
+    maybe = members.column("a", members.collect(told, "_a"))
+    met = own.where(maybe).join(told, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left")
+    kept = own.where(~maybe).select("own").unionByName(met.where("_gone IS NULL").select("own"))
+    if not told.where("NOT _gone").isEmpty():
+        kept = kept.unionByName(met.where("NOT _gone").dropDuplicates(["a", "b"]).select("own"))
     return kept.select("own.*")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 22  # 4 M bits, 512 KB
@@ -31,7 +31,11 @@ def may_hold(words: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (words[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1
 
 
-def filtered(df: DataFrame, column: str, words: np.ndarray) -> DataFrame:
-    """The rows whose number can be in the set. Only that column goes through Python."""
-    inside = F.pandas_udf(lambda x: pd.Series(may_hold(words, x.to_numpy(np.int64))), "boolean")
-    return df.where(inside(F.col(column)))
+def column(name: str, words: np.ndarray) -> Column:
+    """Whether the column's number can be in the set. Only that column goes through Python."""
+    return F.pandas_udf(lambda x: pd.Series(may_hold(words, x.to_numpy(np.int64))), "boolean")(F.col(name))
+
+
+def filtered(df: DataFrame, name: str, words: np.ndarray) -> DataFrame:
+    """The rows whose number can be in the set."""
+    return df.where(column(name, words))

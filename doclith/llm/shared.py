@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +15,13 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
+    """The shared folder: spark.checkpoint.dir. Where that is unset, a temporary one if all runs on this machine (tests),
+    and else an error: executors elsewhere would not see it."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="doclith-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
     if not context.getCheckpointDir():
@@ -29,23 +35,49 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 #: Spark's setting by which an execution's shuffle files go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_writing: dict[int, tuple[int, str | None]] = {}  # by session: writes at work, and what the setting was before the first
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession):
+    """The setting, until the last of the writes at work ends."""
+    with _lock:
+        n, before = _writing.get(id(spark), (0, spark.conf.get(CLEANUP, None)))
+        _writing[id(spark)] = (n + 1, before)
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writing.pop(id(spark))
+            if n > 1:
+                _writing[id(spark)] = (n - 1, before)
+            else:
+                spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def _store(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def _write(df: DataFrame, path: str) -> DataFrame:
     """What the table is made of isn't needed once it is written, so its shuffle files go at once."""
     spark = df.sparkSession
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once as Parquet in the shared folder and read back: later jobs and retries reread the files."""
-    return _write(df, new_path(df.sparkSession, name))
+    """The rows, written once as Parquet in the shared folder and read back: later jobs and retries reread the files. The
+    table is removed when the application ends."""
+    path = new_path(df.sparkSession, name)
+    at, store = _store(df.sparkSession, path)
+    store.deleteOnExit(at)
+    return _write(df, path)
 
 
 class Drafts:
@@ -56,12 +88,14 @@ class Drafts:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.paths.append(new_path(self.spark, name))
+        at, store = _store(self.spark, self.paths[-1])
+        store.deleteOnExit(at)
         return _write(df, self.paths[-1])
 
     def remove(self) -> None:
         for path in self.paths:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            at, store = _store(self.spark, path)
+            store.delete(at, True)
         self.paths = []
 
 
