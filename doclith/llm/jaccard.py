@@ -8,7 +8,8 @@ each, on the whole sets.
 
 The suffix filter's bound comes from parity sketches: a bit a section of the hash range, one to two bits a shingle, says
 whether the set has an odd number of shingles there. Where two sketches differ, the sets differ in a shingle at least. A
-sketch is some forty times smaller than its set, so that sets travel only for pairs that are nearly sure to link.
+sketch is some forty times smaller than its set, so that sets travel only for pairs that are nearly sure to link. In the
+last round shorter ones of a fixed size go with the entries, so that pairs too far apart are not made at all.
 
 Equal sets are one class from the start. What is asked for is the classes' components, so two shortcuts lose nothing:
 in a bucket (the classes with a given prefix shingle) all are first compared with one pivot, and pairs that are
@@ -43,6 +44,7 @@ from doclith.llm.tokens import U, Words, chunks, lists, mix
 
 WORD_BITS, SHINGLE_BITS = 17, 18
 BLOCK = 1 << 21  # shingles in which repeated ones are found at once
+MARK_WORDS = 8  # of the parities that go with the entries of the last round: 512 sections
 PIVOT_ROUNDS = 2
 TOKEN_BITS = 24  # of the set of shared tokens: 2 MB
 
@@ -169,19 +171,29 @@ def _prefixes(k: int, percent: int, ranks: np.ndarray, repeated: np.ndarray, twi
     return run
 
 
-def _sketches(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each set's parities as 64-bit words, and the sets' bounds in them: 64 bits or the power of two that is n or more."""
-    n = np.diff(bounds)
-    bits = np.left_shift(1, np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)))
+def _parities(grams: np.ndarray, bounds: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set whether an odd number of shingles falls into each of as many sections as ``bits`` says (a power of two,
+    64 at least), as 64-bit words; and the sets' bounds in them."""
     first = np.concatenate([[0], np.cumsum(bits)])
-    text = np.repeat(np.arange(len(n)), n)
+    text = np.repeat(np.arange(len(bits)), np.diff(bounds))
     place = first[text] + (grams & (bits[text] - 1).astype(U)).astype(np.int64)
     odd = np.bincount(place, minlength=int(first[-1])) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(U), first >> 6
 
 
+def _sketches(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities in 64 sections, or in the power of two that is the set's size or more."""
+    n = np.diff(bounds)
+    return _parities(grams, bounds, np.left_shift(1, np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))))
+
+
+def _marks(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities in MARK_WORDS * 64 sections, for sets of any size."""
+    return _parities(grams, bounds, np.full(len(bounds) - 1, MARK_WORDS << 6))
+
+
 def _whole_sets(k: int, wanted: np.ndarray, repeated: np.ndarray, twins: np.ndarray):
-    """node, n, whether other rows may have the set, sketch and shingles of the rows whose number ``a`` may be wanted."""
+    """node, n, whether other rows may have the set, mark, sketch and shingles of the rows whose number ``a`` may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +202,7 @@ def _whole_sets(k: int, wanted: np.ndarray, repeated: np.ndarray, twins: np.ndar
                 grams, bounds = _sets(w, k)
                 s1, s2 = _signatures(grams, bounds)
                 columns = [_long(_nodes(s1, s2, twins)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(members.may_hold(repeated, s1))]
-                yield pa.RecordBatch.from_arrays([*columns, lists(*_sketches(grams, bounds)), lists(grams, bounds)], ["node", "n", "repeated", "sketch", "shingles"])
+                yield pa.RecordBatch.from_arrays([*columns, lists(*_marks(grams, bounds)), lists(*_sketches(grams, bounds)), lists(grams, bounds)], ["node", "n", "repeated", "mark", "sketch", "shingles"])
 
     return run
 
@@ -230,11 +242,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.size(F.array_intersect("s", "t")) >= _least(percent, F.size("s"), F.size("t"))).select("u", "v")
 
 
-def _met(apart: DataFrame, others: DataFrame, percent: int, once: bool = False) -> DataFrame:
-    """Pairs (u, v) of entries that share a token with one of the others, v, aren't connected and may link."""
-    others = others.select(F.col("token").alias("_token"), *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "pos", "label")))
+def _met(apart: DataFrame, others: DataFrame, percent: int, marked: bool = False) -> DataFrame:
+    """Pairs (u, v) of entries that share a token with one of the others, v, aren't connected and may link. Where entries
+    are marked, both sides are the same, each pair counts once and marks filter too: pairs that share many tokens and
+    yet are too far apart would else be made at each of them."""
+    others = others.select(F.col("token").alias("_token"), *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "pos", "label", *["mark"] * marked)))
     may = (F.col("label") != F.col("o_label")) & _may_link(percent)
-    may = (F.col("node") < F.col("o_node")) & may if once else may
+    if marked:
+        apart_by = sum((F.bit_count(F.get("mark", F.lit(i)).bitwiseXOR(F.get("o_mark", F.lit(i)))) for i in range(MARK_WORDS)), F.lit(0))
+        may = (F.col("node") < F.col("o_node")) & may & (apart_by <= F.col("n") + F.col("o_n") - 2 * _least(percent, F.col("n"), F.col("o_n")))
     met = apart.join(others, (F.col("token") == F.col("_token")) & may)
     return met.select(F.col("node").alias("u"), F.col("o_node").alias("v")).distinct()
 
@@ -250,8 +266,10 @@ def _links(entries: DataFrame, sets: DataFrame, percent: int, drafts: Drafts) ->
         if turn < PIVOT_ROUNDS:
             pairs = _met(apart, buckets.select("token", "_p.node", "_p.n", F.col("_p.at").alias("pos"), "_p.label"), percent)
         else:
-            mixed = drafts.keep(apart.join(buckets.select(F.col("token").alias("_in")), F.col("token") == F.col("_in"), "left_semi"), "jaccard-mixed")
-            pairs = _met(mixed, mixed, percent, once=True)
+            mixed = apart.join(buckets.select(F.col("token").alias("_in")), F.col("token") == F.col("_in"), "left_semi")
+            marks = members.filtered(sets.select(F.col("node").alias("_of"), "mark"), "_of", members.collect(mixed, "node"))
+            mixed = drafts.keep(mixed.join(marks, F.col("node") == F.col("_of")).drop("_of"), "jaccard-mixed")
+            pairs = _met(mixed, mixed, percent, marked=True)
         if done is not None:
             pairs = pairs.join(done, (F.least("u", "v") == F.col("_a")) & (F.greatest("u", "v") == F.col("_b")), "left_anti")
         pairs = drafts.keep(pairs, "jaccard-pairs")
@@ -325,7 +343,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3
     entries = second.keep(_shared(entries, percent, first).distinct(), "jaccard-entries")
     first.remove()
     asked = kinds.join(entries.select(F.col("node").alias("_node")), F.col("node") == F.col("_node"), "left_semi")
-    wholes = second.keep(plain.mapInArrow(_whole_sets(k, members.collect(asked, "a"), repeated, twins), "node long, n int, repeated boolean, sketch array<long>, shingles array<long>"), "jaccard-wholes")
+    wholes = second.keep(plain.mapInArrow(_whole_sets(k, members.collect(asked, "a"), repeated, twins), "node long, n int, repeated boolean, mark array<long>, sketch array<long>, shingles array<long>"), "jaccard-wholes")
     sets = wholes.where("NOT repeated").unionByName(second.keep(wholes.where("repeated").dropDuplicates(["node"]), "jaccard-repeated"))
     label = keep(components(_links(entries, sets, percent, second)).select(F.col("node").alias("_node"), "component"), "jaccard-components")
     second.remove()
