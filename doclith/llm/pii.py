@@ -2,18 +2,20 @@
 
 Base spans come from one regular expression a kind and a check. They are the seeds of a bootstrap: the words around
 them are lexical patterns; other words with digits, an ``@`` or colons and runs of digits that single blanks join are
-candidates, if they have a kind's shape. A pattern is as trustworthy for a kind
-as the share of that kind's known instances among all instances seen in it; a candidate is as likely as its patterns
-together make it, and one that passes becomes known for the next round, until a round adds none. Rounds are joins and sums over the graph of
-patterns and instances. A discovered span never touches a base span, and base spans stay; of discovered spans one
-inside the other the longer one counts.
-
-The expressions are written with possessive quantifiers and start only where a run starts, so that no text, however
-long its runs, takes more than linear time or deep recursion; they find what the plain ones find. All of it is
-DataFrame expressions. Spans are counted in code points.
-
-Defined cases: null and empty texts have no spans; repeated texts have one text's spans; null ids pass through; columns
-of the input that have the name of a result are replaced; an empty table gives an empty table.
+candidates, if they have a kind's shape and touch no base span. A pattern is as trustworthy for a kind as the share of
+that kind's known instances among all instances seen in it; a candidate is as likely as its patterns together make it,
+and one that passes becomes known for the next round, until a round adds none. Rounds are joins and sums over the graph
+of patterns and instances. Base spans stay; of discovered spans one inside the other the longer one counts.
+
+The expressions are written with possessive quantifiers and start only where a run starts, and they find what the plain
+ones find. Places of matches, overlaps and what lies around a span come from running sums and maxima over arrays, each
+in as many passes as its length has bits: a text of any length with n matches takes n log n steps. All of it is DataFrame
+expressions. Spans are counted in code points.
+
+Defined cases: null and empty texts have no spans; repeated texts have one text's spans; null ids pass through; bytes
+that are no UTF-8 count as U+FFFD; a very long text is one row's work, its words are never cut; spans of two kinds may
+have one place, and both count; columns of the input that have the name of a result are replaced; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ SHAPES = {
     "phone": r"^(?:00|\(|[0-9])[0-9().-]{5,17}[0-9]$",
 }
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|="
-CONTEXT = 48  # code points on either side in which a context's words lie
+EDGE = "".join(f"\\x{ord(c):02x}" for c in EDGES)  # as a character class
 SUPPORT = 3  # known instances that a pattern needs
 TRUST = 0.8  # of a pattern that is used
 ACCEPT = 0.95  # of a candidate
@@ -83,58 +85,75 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, pattern: str, present: Column) -> Column:
-    """Array of (start, end, match): what lies between two matches tells where the next starts."""
-    found = F.when(present, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    between = F.when(present, F.split(text, pattern, -1))
-    none = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, match: STRING>>)")
+def _running(values: Column, join) -> Column:
+    """The array's running join (an associative function), by passes that double how far each element has seen."""
+    shift = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    passes = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(values))).cast("int") - 1, F.lit(0)))
+    step = lambda seen, k: F.transform(seen, lambda x, i: F.when(i >= shift(k), join(F.get(seen, i - shift(k)), x)).otherwise(x))
+    return F.aggregate(passes, values, step)
 
-    def step(state: Column, both: Column) -> Column:
-        start = state["at"] + F.length(both["between"])
-        end = start + F.length(both["found"])
-        one = F.struct(start.alias("start"), end.alias("end"), both["found"].alias("match"))
-        return F.when(both["found"].isNull(), state).otherwise(F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out")))
 
-    return F.when(present & (F.size(found) > 0), F.aggregate(F.arrays_zip(found.alias("found"), between.alias("between")), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])).otherwise(none)
+def _found(df: DataFrame, name: str, pattern: str, present: Column) -> DataFrame:
+    """Adds three arrays to rows with _t: the matches, what lies between them (one more), and where they are: start, end, j, match."""
+    none = F.expr("CAST(array() AS ARRAY<STRING>)")
+    df = df.withColumns({f"{name}_f": F.when(present, F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))).otherwise(none), f"{name}_b": F.when(present, F.split("_t", pattern, -1)).otherwise(none)})
+    # Arrays are arguments here, not looked up inside: Spark may put an expression in the place of a column's name.
+    ends = _running(F.zip_with(F.slice(f"{name}_b", 1, F.size(f"{name}_f")), f"{name}_f", lambda b, f: F.length(b) + F.length(f)), lambda x, y: x + y)
+    both = F.zip_with(f"{name}_f", ends, lambda f, e: F.struct((e - F.length(f)).alias("start"), e.alias("end"), f.alias("match")))
+    return df.withColumn(name, F.transform(both, lambda m, j: F.struct(m["start"].alias("start"), m["end"].alias("end"), j.alias("j"), m["match"].alias("match"))))
 
 
 def _with_base(df: DataFrame) -> DataFrame:
-    """Adds _base, the base spans (start, kind's number, end) in order, to rows with _t; and _digits, if _t has any."""
+    """Adds _base, the base spans (start, kind's number, end) in order, to rows with _t; _digits, if _t has any; and each
+    kind's arrays."""
     df = df.withColumn("_digits", F.col("_t").rlike("[0-9]"))
-    for kind in KINDS:
-        need = F.col("_t").contains(NEEDS[kind]) if NEEDS[kind] else F.lit(True)
-        df = df.withColumn(f"_{kind}", _matches(F.col("_t"), LINEAR[kind], need & (F.lit(True) if kind == "email" else F.col("_digits"))))
     spans = []
     for number, kind in enumerate(KINDS):
-        valid = F.filter(f"_{kind}", lambda m: _valid(kind, m["match"]))  # noqa: B023
-        spans.append(F.transform(valid, lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end"))))  # noqa: B023
-    return df.withColumn("_base", F.sort_array(F.concat(*spans))).drop(*(f"_{k}" for k in KINDS))
-
-
-def _patterns(text: Column, start: Column, end: Column) -> Column:
-    """The lexical patterns around a span: the words before it, the word after it, and both."""
-    left = F.lower(F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT))))
-    right = F.lower(F.substring(text, end + 1, F.lit(CONTEXT)))
-    one = F.regexp_extract(left, rf"({WORD}+)[\x20\x09-\x0D]*$", 1)
-    two = F.regexp_extract(left, rf"({WORD}+[\x20\x09-\x0D]+{WORD}+)[\x20\x09-\x0D]*$", 1)
-    after = F.regexp_extract(right, rf"^{WORD}*[\x20\x09-\x0D]+({WORD}+)", 1)
+        need = F.col("_t").contains(NEEDS[kind]) if NEEDS[kind] else F.lit(True)
+        df = _found(df, f"_{kind}", LINEAR[kind], need & (F.lit(True) if kind == "email" else F.col("_digits")))
+        df = df.withColumn(f"_{kind}", F.filter(f"_{kind}", lambda m: _valid(kind, m["match"])))  # noqa: B023
+        spans.append(F.transform(f"_{kind}", lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end"))))  # noqa: B023
+    return df.withColumn("_base", F.sort_array(F.concat(*spans)))
+
+
+def _patterns(name: str, j: Column) -> Column:
+    """The lexical patterns around a match: the words before it, the word after it, and both. What stands before it in
+    its own word counts as a word, unless it is punctuation alone."""
+    part = lambda what, i: F.coalesce(F.get(f"{name}_{what}", i), F.lit(""))
+    back = F.reverse(F.lower(F.concat(part("f", j - 2), part("b", j - 1), part("f", j - 1), part("b", j))))
+    back = F.regexp_replace(back, rf"^[{EDGE}]++(?![^\x20\x09-\x0D])", "")
+    ahead = F.lower(F.concat(part("b", j + 1), part("f", j + 1), part("b", j + 2)))
+    one = F.reverse(F.regexp_extract(back, rf"^[\x20\x09-\x0D]*+({WORD}++)", 1))
+    two = F.reverse(F.regexp_extract(back, rf"^[\x20\x09-\x0D]*+({WORD}++[\x20\x09-\x0D]++{WORD}++)", 1))
+    after = F.regexp_extract(ahead, rf"^{WORD}*+[\x20\x09-\x0D]++({WORD}++)", 1)
     every = F.array(F.concat(F.lit("<"), one), F.concat(F.lit("<<"), two), F.concat(F.lit("<"), one, F.lit(" >"), after))
     return F.array_distinct(F.filter(every, lambda p: ~p.isin("<", "<<", "< >")))
 
 
 def _with_contexts(df: DataFrame) -> DataFrame:
-    """Adds _seen to rows with _t and _base: (start, end, instance, kind or null, patterns) of base spans and candidates."""
-    df = df.withColumn("_found", _matches(F.col("_t"), CANDIDATE, F.col("_digits") | F.col("_t").contains("@") | F.col("_t").contains(":")))
-    df = df.withColumn("_runs", _matches(F.col("_t"), RUN, F.col("_digits")))
+    """Adds _seen to rows of :func:`_with_base`: (start, end, instance, kind or null, patterns) of base spans and candidates."""
+    df = _found(df, "_word", CANDIDATE, F.col("_digits") | F.col("_t").contains("@") | F.col("_t").contains(":"))
+    df = _found(df, "_run", RUN, F.col("_digits"))
     edge = lambda m: F.length(m["match"]) - F.length(F.ltrim(m["match"], F.lit(EDGES)))
-    trimmed = F.transform("_found", lambda m: F.struct((m["start"] + edge(m)).alias("start"), F.btrim(m["match"], F.lit(EDGES)).alias("instance")))
-    runs = F.transform("_runs", lambda m: F.struct(m["start"].alias("start"), m["match"].alias("instance")))
-    spans = F.transform(F.concat(trimmed, runs), lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["instance"])).alias("end"), F.lower(m["instance"]).alias("instance"), F.lit(None).cast("int").alias("kind")))
-    free = F.filter(spans, lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])) & (F.length(m["instance"]) > 0))
-    shaped = F.filter(free, lambda m: F.lit(False) if not SHAPES else _shape(m["instance"]).isNotNull())
-    known = F.transform("_base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.lower(F.substring(F.col("_t"), b["start"] + 1, b["end"] - b["start"])).alias("instance"), b["kind"].alias("kind")))
-    df = df.withColumn("_all", F.concat(known, shaped))
-    return df.withColumn("_seen", F.transform("_all", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["instance"].alias("instance"), m["kind"].alias("kind"), _patterns(F.col("_t"), m["start"], m["end"]).alias("patterns")))).drop("_found", "_runs", "_all", "_digits")
+    word = F.transform("_word", lambda m: F.struct((m["start"] + edge(m)).alias("start"), F.btrim(m["match"], F.lit(EDGES)).alias("instance"), m["j"].alias("j"), F.lit(1).alias("from")))
+    run = F.transform("_run", lambda m: F.struct(m["start"].alias("start"), m["match"].alias("instance"), m["j"].alias("j"), F.lit(2).alias("from")))
+    shaped = F.filter(F.concat(word, run), lambda m: _shape(F.lower(m["instance"])).isNotNull())
+    span = lambda m, end, **rest: F.struct(m["start"].alias("start"), end.alias("end"), *(c.alias(n) for n, c in rest.items()))
+    shaped = F.transform(shaped, lambda m: span(m, m["start"] + F.length(m["instance"]), **{"from": m["from"], "j": m["j"], "instance": m["instance"]}))
+    base = F.transform("_base", lambda m: span(m, m["end"], **{"from": F.lit(0), "j": F.lit(0), "instance": F.lit("")}))
+    df = df.withColumn("_shaped", shaped)
+    df = df.withColumn("_all", F.when(F.size("_shaped") > 0, F.sort_array(F.concat("_shaped", base))).otherwise(F.col("_shaped")))
+    own = lambda m, c, other: F.when(m["from"] == 0, m[c]).otherwise(other)
+    upto = _running(F.transform("_all", lambda m: own(m, "end", 0)), lambda x, y: F.greatest(x, y))
+    after = F.reverse(_running(F.reverse(F.transform("_all", lambda m: own(m, "start", (1 << 31) - 1))), lambda x, y: F.least(x, y)))
+    # A candidate's own entry says nothing of base spans, so what has run up to it is what lies before and after it.
+    bounds = F.zip_with(upto, after, lambda x, y: F.struct(x.alias("upto"), y.alias("after")))
+    every = F.zip_with("_all", bounds, lambda m, o: F.when((m["from"] > 0) & (o["upto"] <= m["start"]) & (o["after"] >= m["end"]), m))
+    df = df.withColumn("_free", F.filter(every, lambda m: m.isNotNull()))
+    seen = lambda m, kind, patterns: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lower(m["instance" if kind is None else "match"]).alias("instance"), F.lit(kind).cast("int").alias("kind"), patterns.alias("patterns"))
+    free = F.transform("_free", lambda m: seen(m, None, F.when(m["from"] == 1, _patterns("_word", m["j"])).otherwise(_patterns("_run", m["j"]))))
+    known = [F.transform(f"_{kind}", lambda m: seen(m, number, _patterns(f"_{kind}", m["j"]))) for number, kind in enumerate(KINDS)]  # noqa: B023
+    return df.withColumn("_seen", F.concat(*known, free))
 
 
 def _shape(instance: Column) -> Column:
@@ -145,11 +164,15 @@ def _shape(instance: Column) -> Column:
     return out
 
 
+def _text(text: str) -> Column:
+    return F.make_valid_utf8(whole(F.col(text)))
+
+
 def _read(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, _k (the text's digest), _base, _seen: the one pass over the texts, kept."""
-    rows = docs.select(F.col(key), whole(F.col(text)).alias("_t"))
+    rows = docs.select(F.col(key), _text(text).alias("_t"))
     rows = rows.withColumn("_k", F.md5(F.col("_t").cast("binary")))
-    return keep(_with_contexts(_with_base(rows)).drop("_t"), "pii-spans")
+    return keep(_with_contexts(_with_base(rows)).select(key, "_k", "_base", "_seen"), "pii-spans")
 
 
 def _discovered(read: DataFrame, rounds: int | None) -> DataFrame:
@@ -172,10 +195,15 @@ def _discovered(read: DataFrame, rounds: int | None) -> DataFrame:
             known = now if known is None else known
             break
         known = now if known is None else cut(known.union(now).distinct())
+    known = candidates.select("instance", "kind").where("false") if known is None else known
     spans = seen.where("NOT base").join(known, ["instance", "kind"]).select("_k", F.struct("start", "kind", "end").alias("s"))
-    inside = lambda s, o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
-    found = spans.groupBy("_k").agg(F.sort_array(F.collect_set("s")).alias("_s"))
-    return found.select("_k", F.filter("_s", lambda s: ~F.exists("_s", lambda o: inside(s, o))).alias("_added"))
+    # Earlier starts come first and, of one start, later ends: a span lies in a longer one if an end before it is later
+    # than its own, or is its own and started earlier.
+    reach = lambda s: F.struct(s["end"].alias("end"), (-s["start"]).alias("back"))
+    found = spans.select("_k", F.struct(F.col("s.start"), (-F.col("s.end")).alias("back"), F.col("s.end"), F.col("s.kind")).alias("s")).groupBy("_k").agg(F.sort_array(F.collect_set("s")).alias("_s"))
+    most = _running(F.transform("_s", reach), lambda x, y: F.greatest(x, y))
+    outer = F.filter(F.zip_with("_s", most, lambda s, m: F.when(m <= reach(s), s)), lambda s: s.isNotNull())
+    return found.select("_k", F.transform(outer, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("_added"))
 
 
 def _named(spans: Column) -> Column:
@@ -202,17 +230,15 @@ def redact(docs: DataFrame, text: str = "text", rounds: int | None = None) -> Da
     """The input with each span replaced by its kind in brackets; where spans overlap, by that of the one that starts first."""
     read = _read(docs.select(F.lit(0).alias("_key"), F.col(text).alias("_text")), "_key", "_text")
     added = keep(_discovered(read, rounds), "pii-added")
-    rows = docs.select(packed(docs), whole(F.col(text)).alias("_t")).withColumn("_k", F.md5(F.col("_t").cast("binary")))
-    rows = _with_base(rows).drop("_digits").join(added.select("_k", "_added"), "_k", "left")
+    rows = docs.select(packed(docs), _text(text).alias("_t")).withColumn("_k", F.md5(F.col("_t").cast("binary")))
+    rows = _with_base(rows).select("own", "_t", "_k", "_base").join(added.select("_k", "_added"), "_k", "left")
     rows = rows.withColumn("_spans", F.sort_array(F.concat("_base", F.coalesce("_added", _none()))))
+    # Four bytes a code point: a piece is found without counting from the text's start.
+    rows = rows.withColumn("_wide", F.when(F.size("_spans") > 0, F.encode("_t", "UTF-32")))
+    ends = F.concat(F.array(F.lit(0)), _running(F.transform("_spans", lambda s: s["end"]), lambda x, y: F.greatest(x, y)))
+    rows = rows.withColumn("_ends", ends)
+    piece = lambda a, b: F.decode(F.substring("_wide", 4 * a + 1, 4 * (b - a)), "UTF-32")
     label = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-
-    def step(state: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(F.col("_t"), state["at"] + 1, s["start"] - state["at"]), F.get(label, s["kind"]))
-        after = F.struct(s["end"].alias("at"), F.concat(state["out"], F.array(piece)).alias("out"))
-        inside = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
-        return F.when(s["start"] >= state["at"], after).otherwise(inside)
-
-    rest = lambda s: F.array_join(F.concat(s["out"], F.array(F.substring(F.col("_t"), s["at"] + 1, F.length("_t")))), "")
-    masked = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS ARRAY<STRING>)").alias("out")), step, rest)
+    one = lambda s, before: F.when(s.isNull(), piece(before, F.length("_t"))).when(s["start"] >= before, F.concat(piece(before, s["start"]), F.get(label, s["kind"]))).otherwise("")
+    masked = F.array_join(F.zip_with("_spans", "_ends", one), "")  # one end more than spans: the rest of the text
     return rows.select(F.col("own").withField(f"`{text}`", F.when(F.size("_spans") > 0, masked).otherwise(F.col("own")[text])).alias("own")).select("own.*")
