@@ -5,8 +5,9 @@ source's budget runs out; only that bucket is split by the next bits, until the
 one threshold a source: rows below it are taken once more than rows above it. Nothing is sorted, larger budgets take
 supersets of smaller ones, and equal input gives an equal mix on any number of machines.
 
-Defined cases: null and blank texts have size 0; a null source is a source, the last; rows equal in id and text share
-a hash and are taken alike; an empty table gives an empty table; columns of the input that have the name of a result
+Defined cases: null and blank texts have size 0; a very long text is a row like others; a null source is a source, the
+last; a source at its stop takes each row ``most`` times and none once more; rows equal in id and text share a hash and
+are taken alike; sources that stop at one level are in order of their names; an empty table gives an empty table; columns of the input that have the name of a result
 are replaced by it. A source misses its target by at most half of the words that share the boundary's hash.
 """
 
@@ -81,8 +82,9 @@ def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         first = here.groupBy("source").agg(F.min(F.struct("_next", "_m", (F.col("_rest") - (F.col("_upto") - F.col("_m"))).alias("_rest"))).alias("_b"))
         state, used = cut(first.select(F.col("source").alias("_s"), "_b._rest", F.col("_b._next").alias("_bucket"), F.col("_b._m").alias("_n"))), bits
     edge = F.when(2 * F.col("_rest") >= F.col("_n"), F.col("_bucket") + 1).otherwise(F.col("_bucket"))
-    found = wanted.drop("_rest").join(state, F.col("source").eqNullSafe(F.col("_s")), "left")
-    return found.select("source", "source_size", "target", "_full", F.coalesce(edge, F.lit(0)).alias("_below"))
+    found = wanted.withColumnRenamed("_rest", "_more").join(state, F.col("source").eqNullSafe(F.col("_s")), "left")
+    # A source that gets whole copies only takes no row once more, not even rows without words.
+    return found.select("source", "source_size", "target", "_full", F.when(F.col("_more") > 0, F.coalesce(edge, F.lit(0))).otherwise(0).alias("_below"))
 
 
 def times_taken() -> Column:
@@ -130,7 +132,7 @@ e AS (
     SELECT f.source, min(CASE WHEN upto > target - n_full * source_size THEN h END) AS edge
     FROM f JOIN c ON f.source IS NOT DISTINCT FROM c.source GROUP BY f.source),
 g AS (
-    SELECT f.*, CASE WHEN edge IS NULL THEN 0 WHEN 2 * (target - n_full * source_size - (upto - m)) >= m THEN edge + 1 ELSE edge END AS below
+    SELECT f.*, CASE WHEN edge IS NULL OR target <= n_full * source_size THEN 0 WHEN 2 * (target - n_full * source_size - (upto - m)) >= m THEN edge + 1 ELSE edge END AS below
     FROM f JOIN e ON f.source IS NOT DISTINCT FROM e.source LEFT JOIN c ON c.source IS NOT DISTINCT FROM e.source AND c.h = e.edge)
 SELECT doc_id, size, source_size, target, (size * n_taken)::BIGINT AS taken, n_taken::INTEGER AS copies
 FROM (SELECT d.doc_id, d.size, g.source_size, g.target, g.n_full + CASE WHEN d.h < g.below THEN 1 ELSE 0 END AS n_taken
