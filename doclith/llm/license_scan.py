@@ -2,7 +2,7 @@
 
 Paragraphs are blocks of lines that blank ones part. Lines are judged, long ones in overlapping windows, and so are windows
 that run on over the line breaks of a paragraph, so that wrapped notices are seen whole. Features are word n-grams, one to three words, of the templates;
-a window with fewer than GATE of the longest, licence words counted too, is no licence text. A multinomial logistic regression over them, trained on
+a window without any of the longest, licence words counted too, is no licence text: no verdict on it were possible. A multinomial logistic regression over them, trained on
 templates with words dropped, cut and set among other text, gives each family and a class of unknown texts (corpus
 paragraphs, other notices, shuffled templates) a probability. The threshold is calibrated on texts that it wasn't
 trained on: at most UNKNOWN_ERRORS of the unknown ones reach it. A prediction is confirmed if enough of a template's
@@ -11,7 +11,8 @@ reported as ``unknown``.
 
 Training takes paragraphs from about BACKGROUND documents, by a hash of the text; all documents are scanned.
 
-Defined cases: null and empty texts have no paragraphs; repeated rows are reported each; null ids are reported as null;
+Defined cases: null and empty texts have no paragraphs; a very long text is judged window by window like others; of two
+families equally likely the first listed counts; repeated rows are reported each; null ids are reported as null;
 further columns do not matter; an empty table gives an empty table.
 """
 
@@ -102,7 +103,7 @@ OTHER_NOTICES = (
 )
 UNKNOWN = "unknown"
 NGRAMS = 3
-GATE = 2
+GATE = 1  # a window with no sign has no word of ALONE and no sequence of a template: it can get no verdict
 WINDOW, STRIDE = 64, 32
 VARIANTS = 60  # of each template
 BACKGROUND = 400
@@ -284,8 +285,8 @@ def _scan(model: Model):
 
 
 def background(docs: DataFrame, text: str = "text", most: int = BACKGROUND) -> list[str]:
-    """A paragraph each of about ``most`` documents, 500 code points of it, for training alone."""
-    line = F.substring(F.substring_index(F.col(text), "\n", 1), 1, 500)
+    """A line each of about ``most`` documents, for training alone."""
+    line = F.substring_index(F.col(text), "\n", 1)
     rows = sampled(docs, F.xxhash64(text), most).select(line.alias("t")).where("length(t) > 20").distinct()  # copies share a hash
     return sorted(r["t"] for r in rows.collect())
 
