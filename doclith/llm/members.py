@@ -39,3 +39,11 @@ def column(name: str, words: np.ndarray) -> Column:
 def filtered(df: DataFrame, name: str, words: np.ndarray) -> DataFrame:
     """The rows whose number can be in the set."""
     return df.where(column(name, words))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose numbers a and b (hashes) are not in ``gone``; only rows that may be there are moved."""
+    maybe = column("a", collect(gone, "a"))
+    gone = gone.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    left = rows.where(maybe).join(gone, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
+    return rows.where(~maybe).unionByName(left)
