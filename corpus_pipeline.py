@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents.
+
+Defined cases, for each stage: a null or empty text fails the quality rules and goes; nulls in other columns, very long
+texts and further columns of any name pass through; rows with one id are told apart by their texts, and rows equal in
+both are one document to the second stage; ties are settled as the operators say; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -11,8 +15,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclith.llm import jaccard, mixing, pii, quality_rules, tiling
-from doclith.llm.shared import keep
+from doclith.llm import jaccard, members, mixing, pii, quality_rules, tiling
+from doclith.llm.shared import Drafts, keep
+from doclith.llm.text import packed
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +32,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go, each by its own text: rows may share an id, or have none."""
-    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(F.struct(F.col("doc_id").alias("id"), digest.alias("digest")).alias("_of"), "text")
-    leaks = tiling.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_of")
-    found = keep(leaks.select(F.col("_of.id").alias("_gone"), F.col("_of.digest").alias("_digest")).distinct(), "pipeline-leaks")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_gone")) & (digest == F.col("_digest")), "left_anti")
+    """Documents that hold a benchmark item go, each by a hash of its id and text: rows may share an id, or have none.
+    Only rows that may be among them are moved."""
+    numbers = {"a": F.xxhash64("doc_id", F.col("text").cast("string")), "b": F.xxhash64(F.col("text").cast("string"), "doc_id", F.lit(1))}
+    rows = docs.select(packed(docs), *(c.alias(n) for n, c in numbers.items()))
+    leaks = tiling.leaks(rows.select(F.struct("a", "b").alias("_of"), "own.text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_of")
+    return members.without(rows, keep(leaks.select("_of.a", "_of.b").distinct(), "pipeline-leaks")).select("own.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the last one's result."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; the last one's result. A stage's table is removed when the next one's is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Drafts(spark)
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = keep(docs, f"pipeline-{name.replace(' ', '-')}")
+            written = Drafts(spark)
+            docs = written.keep(docs, f"pipeline-{name.replace(' ', '-')}")
+            before.remove()
+            before = written
     return docs
