@@ -33,28 +33,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Spark's setting by which an execution's shuffle files go when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: an execution's shuffle files go when it ends, and Arrow batches are bounded by bytes.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _lock = threading.Lock()
-_writing: dict[int, tuple[int, str | None]] = {}  # by session: writes at work, and what the setting was before the first
+_at_work: dict[int, tuple[int, dict]] = {}  # by session: writes at work, and what the settings were before the first
 
 
 @contextlib.contextmanager
-def _cleaning(spark: SparkSession):
-    """The setting, until the last of the writes at work ends."""
+def _writing(spark: SparkSession):
+    """The settings, until the last of the writes at work ends."""
     with _lock:
-        n, before = _writing.get(id(spark), (0, spark.conf.get(CLEANUP, None)))
-        _writing[id(spark)] = (n + 1, before)
-        spark.conf.set(CLEANUP, "true")
+        n, before = _at_work.get(id(spark), (0, None))
+        _at_work[id(spark)] = (n + 1, before or {k: spark.conf.get(k, None) for k in WRITING})
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
     try:
         yield
     finally:
         with _lock:
-            n, before = _writing.pop(id(spark))
+            n, before = _at_work.pop(id(spark))
             if n > 1:
-                _writing[id(spark)] = (n - 1, before)
+                _at_work[id(spark)] = (n - 1, before)
             else:
-                spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+                for k, v in before.items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _store(spark: SparkSession, path: str):
@@ -66,7 +68,7 @@ def _store(spark: SparkSession, path: str):
 def _write(df: DataFrame, path: str) -> DataFrame:
     """What the table is made of isn't needed once it is written, so its shuffle files go at once."""
     spark = df.sparkSession
-    with _cleaning(spark):
+    with _writing(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20  # of text at once; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 19  # of text at once; a longer text is a chunk of its own
 U = np.uint64
 
 
