@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doclith.cursor import Cursor, document
-from doclith.errors import DuplicateKeyError, InvalidOperation, OperationFailure
+from doclith.errors import CursorNotFound, DuplicateKeyError, InvalidOperation, OperationFailure
 from doclith.operators import documents
 from doclith.results import DeleteResult, InsertManyResult, InsertOneResult, UpdateResult
 from doclith.sources.store import Manifest, Store
@@ -139,17 +141,28 @@ class Collection(Table):
             self._store.files.remove(draft)
         return n
 
-    def _matched(self, before: Manifest, query: dict | None, once: bool) -> list[int]:
-        found = documents.matching(self._store.read(before), query).select("_seq").orderBy("_seq")
-        return [r["_seq"] for r in (found.limit(1) if once else found).collect()]
+    def _matched(self, before: Manifest, query: dict | None, once: bool) -> tuple[int, Callable[[], list[int]]]:
+        """How many match, and a function that fetches their numbers as long as the snapshot's files are there."""
+        found = documents.matching(self._store.read(before), query).select("_seq")
+        if once:
+            first = found.agg(F.min("_seq")).first()[0]
+            return (0, list) if first is None else (1, lambda: [first])
+
+        def fetch() -> list[int]:
+            try:
+                return [r["_seq"] for r in found.orderBy("_seq").collect()]
+            except PySparkException as e:
+                raise CursorNotFound("later writes have removed the snapshot that this result is of") from e
+
+        return found.count(), fetch
 
     def _update(self, query: dict | None, update: dict, once: bool) -> UpdateResult:
         fields, before = documents.changes(update), self._store.manifest()
-        seqs = self._matched(before, query, once)
-        if seqs:
+        n, fetch = self._matched(before, query, once)
+        if n:
             part = self._store.write(documents.updated(self._store.read(before), query, update, once=once))
             self._store.commit(before, [part], before.rows, before.last)
-        return UpdateResult(seqs, len(seqs), len(seqs) if fields else 0)
+        return UpdateResult(fetch, n, n if fields else 0)
 
     def update_one(self, query: dict | None, doc: dict) -> UpdateResult:
         """Sets fields of the first match."""
@@ -165,13 +178,19 @@ class Collection(Table):
 
     def _delete(self, query: dict | None, once: bool) -> DeleteResult:
         before = self._store.manifest()
-        seqs = self._matched(before, query, once)
-        if len(seqs) == before.rows and not once and not query:
+        n, fetch = self._matched(before, query, once)
+        if n == before.rows and not once and not query:
             self._store.commit(before, [], 0, 0)
-        elif seqs:
+        elif n:
             part = self._store.write(documents.remaining(self._store.read(before), query, once=once))
-            self._store.commit(before, [part], before.rows - len(seqs), before.last)
-        return DeleteResult(seqs)
+            self._store.commit(before, [part], before.rows - n, before.last)
+        return DeleteResult(fetch, n)
+
+    def compact(self) -> None:
+        """Writes the parts of all inserts as one."""
+        before = self._store.manifest()
+        if len(before.parts) > 1:
+            self._store.commit(before, [self._store.write(self._store.read(before))], before.rows, before.last)
 
     def delete_one(self, query: dict | None) -> DeleteResult:
         """Removes the first match."""

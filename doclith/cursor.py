@@ -24,15 +24,15 @@ class Cursor:
         self._found = documents.matching(df, query)
         self.df = documents.find(df, query, sort, skip, limit, self._sequence, projection)
         self._ordered = sort is not None or bool(skip or limit)
-        self._rows: list | None = None
+        self._ahead: Iterator | None = None
+        self._next: list = []
         self._count: int | None = None
-        self._at = -1
 
     def sort(self, key: Any, direction: Any = None) -> Cursor:
         """Reorders what the cursor holds, after skip and limit; returns it."""
         keys = ordering.checked(key, direction)
         self.df = ordering.ordered(self.df, keys, self._sequence, documents.TEXT if documents.is_documents(self.df) else None)
-        self._ordered, self._rows, self._at = True, None, -1
+        self._ordered, self._ahead, self._next = True, None, []
         return self
 
     def paginate(self, skip: int | None, limit: int | None) -> Cursor:
@@ -40,26 +40,20 @@ class Cursor:
             self.df = self.df.orderBy(self._sequence)
         self.df = self.df.offset(skip or 0)
         self.df = self.df.limit(limit) if limit else self.df
-        self._ordered, self._rows, self._count = True, None, None
+        self._ordered, self._ahead, self._next, self._count = True, None, [], None
         return self
 
     def count(self, with_limit_and_skip: bool = False) -> int:
         """Of the documents that the cursor holds, counted once; the argument changes nothing."""
         if self._count is None:
-            self._count = len(self._rows) if self._rows is not None else self.df.count()
+            self._count = self.df.count()
         return self._count
 
     def _lines(self) -> DataFrame:
         return self.df if self._ordered or not self._sequence else self.df.orderBy(self._sequence)
 
-    def _all(self) -> list:
-        if self._rows is None:
-            self._rows = self._lines().collect()
-        return self._rows
-
     def __iter__(self) -> Iterator[dict]:
-        rows = self._rows if self._rows is not None else self._lines().toLocalIterator()
-        return (document(r) for r in rows)
+        return (document(r) for r in self._lines().toLocalIterator())
 
     def __len__(self) -> int:
         return self.count()
@@ -71,16 +65,23 @@ class Cursor:
             if not last:
                 raise IndexError("no document was found")
             return document(last[0])[key]
-        return document(self._all()[key])
+        found = self._lines().offset(key).limit(1).collect() if key >= 0 else self._lines().tail(-key)[: 1 if key + self.count() >= 0 else 0]
+        if not found:
+            raise IndexError("no document at that place")
+        return document(found[0])
 
     def hasNext(self) -> bool:
-        return self._at + 1 < len(self._all())
+        """Looks one document ahead; a partition at a time comes to the driver."""
+        if not self._next:
+            if self._ahead is None:
+                self._ahead = self._lines().toLocalIterator()
+            self._next = [r for _, r in zip(range(1), self._ahead, strict=False)]
+        return bool(self._next)
 
     def next(self) -> dict:
         """The next document; IndexError behind the last."""
         if not self.hasNext():
             raise IndexError("no more documents")
-        self._at += 1
-        return document(self._all()[self._at])
+        return document(self._next.pop())
 
     __next__ = next

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from doclith.collection import Table
+from doclith.client import Client
+from doclith.collection import Collection, Table
 from doclith.operators import documents, ordering
-from doclith.sources.codecs import DateTimeCodec
+from doclith.sources.codecs import DateTimeCodec, read_lines, read_tables
 from doclith.streaming import find_stream
 
 
@@ -215,11 +216,7 @@ ALL["datetime_codec"] = Query(
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter on a stream of the events file, run to its end into a table in the shared folder."""
-    import uuid
-
-    source = table(spark, sf_dir, "events")
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    at = f"{root.rstrip('/')}/find-stream-{uuid.uuid4().hex}"
+    source, at = table(spark, sf_dir, "events"), _shared(spark, "find-stream")
     files = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not sf_dir.endswith(".parquet") else spark.readStream.schema(source.schema).parquet(sf_dir)
     out = find_stream(files, {"event_type": "click", "value": {"$gte": 50}}, ["event_id", "value"])
     out.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
@@ -229,6 +226,91 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL["find_stream"] = Query(_streamed, "SELECT event_id, value FROM events WHERE event_type = 'click' AND value >= 50")
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder that the cluster shares."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _collection(change: Callable[[Collection], object], fields: str = "s_suppkey long, s_nationkey long, s_acctbal double, seen long") -> Callable[[SparkSession, str], DataFrame]:
+    """supplier as a collection of documents in a store, after a change; its fields by type."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        held = Client(spark, _shared(spark, "collection")).main.suppliers
+        held.insert_frame(table(spark, sf_dir, "supplier").withColumn("_id", F.col("s_suppkey").cast("string")))
+        change(held)
+        return held.df.select(*(F.try_variant_get("_v", f"$.{n}", k).alias(n) for n, k in (f.split(" ") for f in fields.split(", "))))
+
+    return run
+
+
+def _read_back(name: str, write: Callable[[DataFrame, str], object], read: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _shared(spark, name)
+        write(table(spark, sf_dir, "nation").select(F.to_json(F.struct("n_nationkey", "n_name")).alias("value"), "n_nationkey"), path)
+        return read(spark, path).select(F.get_json_object("_doc", "$.n_nationkey").cast("int").alias("n_nationkey"), F.get_json_object("_doc", "$.n_name").alias("n_name"))
+
+    return run
+
+
+def _one_file(df: DataFrame, path: str) -> None:
+    entry = F.concat(F.lit('"'), F.col("n_nationkey").cast("string"), F.lit('":'), F.col("value"))
+    df.agg(F.concat(F.lit('{"_default": {}, "nation": {'), F.array_join(F.collect_list(entry), ","), F.lit("}}")).alias("value")).coalesce(1).write.text(path)
+
+
+def _said(spark: SparkSession, **values: object) -> DataFrame:
+    return spark.createDataFrame([tuple(values.values())], list(values))
+
+
+def _cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cursor = Table("orders", table(spark, sf_dir, "orders"), "o_orderkey").find({"o_orderstatus": "F"}, sort="o_orderkey")
+    first, second = cursor.next(), cursor.next()
+    return _said(spark, n=cursor.count(), first=first["o_orderkey"], second=second["o_orderkey"], tenth=cursor[9]["o_orderkey"], more=cursor.hasNext(), last=cursor["o_orderkey"])
+
+
+def _drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = Client(spark, _shared(spark, "collection")).main
+    before = db.a.insert_many([{"n": n} for n in range(5)])
+    one = db.a.insert({"n": 5})
+    names = ",".join(db.collection_names())
+    return _said(spark, eids=sum(before.eids) + one.eid, names=names, n=db.a.count(), dropped=db.a.drop(), again=db.a.drop(), n_after=db.a.count())
+
+
+SUPPLIER = "SELECT s_suppkey, {nation} AS s_nationkey, {balance} AS s_acctbal, {seen} AS seen FROM (SELECT s_suppkey, s_nationkey::BIGINT AS s_nationkey, s_acctbal FROM supplier)"
+PLAIN = {"nation": "s_nationkey", "balance": "s_acctbal", "seen": "NULL::BIGINT"}
+for _name, _change, _sql in (
+    ("collection_insert", lambda c: None, SUPPLIER.format(**PLAIN)),
+    ("collection_update_many", lambda c: c.update_many({"s_nationkey": {"$gte": 10}}, {"$set": {"seen": 1, "s_nationkey": 99}}), SUPPLIER.format(**PLAIN | {"nation": "CASE WHEN s_nationkey >= 10 THEN 99 ELSE s_nationkey END", "seen": "CASE WHEN s_nationkey >= 10 THEN 1::BIGINT END"})),
+    ("collection_update_one", lambda c: c.update({"s_suppkey": 7}, {"seen": 2}), SUPPLIER.format(**PLAIN | {"seen": "CASE WHEN s_suppkey = 7 THEN 2::BIGINT END"})),
+    ("collection_delete_many", lambda c: c.delete_many({"s_nationkey": {"$gte": 10}}), SUPPLIER.format(**PLAIN) + " WHERE s_nationkey < 10"),
+    ("collection_delete_one", lambda c: c.delete_one({"s_suppkey": {"$in": [3, 5000]}}), SUPPLIER.format(**PLAIN) + " WHERE s_suppkey <> 3"),
+    ("collection_remove_all", lambda c: (c.remove({}), c.insert_one({"s_suppkey": 1, "s_nationkey": 2, "s_acctbal": 0.5})), "SELECT 1::BIGINT AS s_suppkey, 2::BIGINT AS s_nationkey, 0.5::DOUBLE AS s_acctbal, NULL::BIGINT AS seen"),
+    ("collection_bypass_and_compact", lambda c: (c.insert_many([{"_id": "1", "s_suppkey": 1}], bypass_document_validation=True), c.compact()), SUPPLIER.format(**PLAIN) + " UNION ALL SELECT 1, NULL, NULL, NULL"),
+):
+    ALL[_name] = Query(_collection(_change), _sql)
+ALL["collection_drop"] = Query(_drop, "SELECT 21::BIGINT AS eids, '_default,a' AS names, 6::BIGINT AS n, true AS dropped, false AS again, 0::BIGINT AS n_after")
+ALL["cursor"] = Query(
+    _cursor,
+    "SELECT count(*) AS n, min(o_orderkey) AS first, list_sort(list(o_orderkey))[2] AS second, list_sort(list(o_orderkey))[10] AS tenth, true AS more, max(o_orderkey) AS last FROM orders WHERE o_orderstatus = 'F'",
+)
+ALL["cursor_paginate"] = Query(
+    lambda s, d: Table("orders", table(s, d, "orders"), "o_orderkey").find({"o_orderstatus": "F"}).paginate(13, 7).df.select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 7 OFFSET 13"
+)
+ALL["find_sorted_page"] = Query(
+    lambda s, d: Table("orders", table(s, d, "orders"), "o_orderkey").find({}, sort=[("o_orderstatus", -1), ("o_orderpriority", 1), ("o_orderdate", -1)], skip=5, limit=30).df.select("o_orderkey"),
+    "SELECT o_orderkey FROM orders ORDER BY o_orderstatus DESC, o_orderpriority, o_orderdate DESC, o_orderkey LIMIT 30 OFFSET 5",
+)
+ALL["find_sorted_documents"] = Query(
+    lambda s, d: documents.find(mixed(s, d), {}, sort=[("x", 1)], skip=100, limit=700).select(F.col("_seq").alias("event_id")),
+    f"SELECT event_id FROM ({ALL['sort_mixed'].sql}) WHERE pos > 100 AND pos <= 800",
+)
+NATION = "SELECT n_nationkey, n_name FROM nation"
+ALL["json_lines"] = Query(_read_back("lines", lambda df, path: df.select("value").write.text(path), read_lines), NATION)
+ALL["json_database"] = Query(_read_back("tables", _one_file, lambda s, path: read_tables(s, path).where("table = 'nation' AND eid >= 0")), NATION)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.run for name, q in ALL.items()}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from collections.abc import Callable
 from typing import Any
 
 
@@ -29,20 +30,25 @@ class InsertManyResult(WriteResult):
 
 @dataclass(frozen=True)
 class UpdateResult(WriteResult):
-    """raw_result: sequence numbers of the documents that were updated."""
+    """The counts; sequence numbers of the documents that were updated are fetched when asked for."""
 
-    raw_result: list | None
+    fetch: Callable[[], list]
     matched_count: int | None = None
     modified_count: int | None = None
     upserted_id: Any = None
 
+    @property
+    def raw_result(self) -> list:
+        return self.fetch()
+
 
 @dataclass(frozen=True)
 class DeleteResult(WriteResult):
-    """raw_result: sequence numbers of the documents that were deleted."""
+    """The count; sequence numbers of the documents that were deleted are fetched when asked for."""
 
-    raw_result: list | None
+    fetch: Callable[[], list]
+    deleted_count: int
 
     @property
-    def deleted_count(self) -> int:
-        return len(self.raw_result or [])
+    def raw_result(self) -> list:
+        return self.fetch()
