@@ -121,14 +121,15 @@ class _Frequencies:
             self.close()
 
     def close(self) -> None:
-        grams = np.sort(np.concatenate(self.block)) if self.block else np.zeros(0, U)
+        grams = np.concatenate(self.block) if self.block else np.zeros(0, U)
+        self.block = []  # before the sort: the copy is enough
+        grams.sort()
         same = grams[1:] == grams[:-1]
         again = np.zeros(len(grams), bool)
         again[1:] |= same
         again[:-1] |= same
         sections, times = np.unique(_section(grams[again], SHINGLE_BITS), return_counts=True)
         self.seen[sections + (1 << WORD_BITS)] += times
-        self.block = []
 
 
 def _describe(k: int):
