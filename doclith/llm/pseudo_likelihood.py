@@ -115,18 +115,19 @@ def _padded(w: Words, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.nda
     return ids, at, text
 
 
-def _forward(parts: tuple, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids around the positions, the hidden layer, and the classes' chances there, which do not sum to one."""
+def _forward(parts: tuple, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Ids around the positions, their embeddings, the hidden layer, and the classes' chances there, which do not sum to one."""
     embeddings, places, vectors, biases = parts
     near = np.stack([ids[at + j] for j in PLACES])
-    hidden = embeddings[near[0]] * places[0]
-    for j in range(1, len(PLACES)):
-        hidden += embeddings[near[j]] * places[j]
+    around = [embeddings.take(n, 0) for n in near]
+    hidden = around[0] * places[0]
+    for x, place in zip(around[1:], places[1:], strict=True):
+        hidden += x * place
     np.tanh(hidden, out=hidden)
     logits = hidden @ vectors.T
     logits += biases
     np.clip(logits, -40, 40, out=logits)
-    return near, hidden, np.exp(logits, out=logits)
+    return near, around, hidden, np.exp(logits, out=logits)
 
 
 def log_probabilities(network: Network, known: Vocabulary, w: Words) -> np.ndarray:
@@ -135,7 +136,7 @@ def log_probabilities(network: Network, known: Vocabulary, w: Words) -> np.ndarr
     out, parts = np.empty(len(at), np.float32), network.parts()
     for a in range(0, len(at), BLOCK):
         here = at[a : a + BLOCK]
-        _, _, chances = _forward(parts, ids, here)
+        *_, chances = _forward(parts, ids, here)
         word = ids[here]
         out[a : a + BLOCK] = np.log(chances[np.arange(len(here)), known.classes[word]] / chances.sum(1)) + known.shares[word]
     return out
@@ -150,8 +151,9 @@ class Trainer:
         self.times = np.zeros(len(self.network.rows), np.int64)
 
     def _step(self, rows: np.ndarray | slice, gradient: np.ndarray, times: np.ndarray | int) -> None:
-        self.squares[rows] += gradient * gradient
-        self.network.rows[rows] -= RATE * gradient / np.sqrt(self.squares[rows])
+        squares = self.squares[rows] + gradient * gradient
+        self.squares[rows] = squares
+        self.network.rows[rows] -= RATE * gradient / np.sqrt(squares)
         self.times[rows] += times
 
     def learn(self, ids: np.ndarray, at: np.ndarray, classes: np.ndarray) -> None:
@@ -160,18 +162,18 @@ class Trainer:
         n, m = len(embeddings), len(places)
         for a in range(0, len(at), BATCH):
             here = at[a : a + BATCH]
-            near, hidden, error = _forward(parts, ids, here)
+            near, around, hidden, error = _forward(parts, ids, here)
             error /= error.sum(1, keepdims=True)
             error[np.arange(len(here)), classes[ids[here]]] -= 1
             back = (error @ vectors) * (1 - hidden * hidden)
             change = np.concatenate([back * places[j] for j in range(m)])
             flat = near.reshape(-1)
-            order = np.argsort(flat, kind="stable")
+            order = np.argsort(flat)  # words' sums need no order within
             flat = flat[order]
             first = np.flatnonzero(np.diff(flat, prepend=-1))
             used, times = flat[first], np.diff(first, append=len(flat))
-            by_word = np.add.reduceat(change[order], first, axis=0)
-            by_place = np.stack([(back * embeddings[near[j]]).mean(0) for j in range(m)])
+            by_word = np.add.reduceat(change.take(order, 0), first, axis=0)
+            by_place = np.stack([np.einsum("ij,ij->j", back, x) for x in around]) / np.float32(len(here))
             self._step(slice(n + m, n + m + CLASSES), error.T @ hidden / len(here), len(here))
             self._step(slice(n + m + CLASSES, None), (error.mean(0)).reshape(-1, WIDTH), len(here))
             self._step(slice(n, n + m), by_place, len(here))
