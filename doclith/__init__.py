@@ -14,8 +14,10 @@ from doclith.errors import (
     WriteError,
 )
 from doclith.results import DeleteResult, InsertManyResult, InsertOneResult, UpdateResult
+from doclith.sources.codecs import Codecs, DateTimeCodec
+from doclith.sources.store import Storage
 
 __all__ = [
-    "Client", "Collection", "ConfigurationError", "ConnectionFailure", "Cursor", "CursorNotFound", "Database", "DeleteResult", "DocumentError",
-    "DuplicateKeyError", "InsertManyResult", "InsertOneResult", "InvalidOperation", "OperationFailure", "Table", "UpdateResult", "WriteError", "generate_id",
+    "Client", "Codecs", "Collection", "ConfigurationError", "ConnectionFailure", "Cursor", "CursorNotFound", "Database", "DateTimeCodec", "DeleteResult", "DocumentError",
+    "DuplicateKeyError", "InsertManyResult", "InsertOneResult", "InvalidOperation", "OperationFailure", "Storage", "Table", "UpdateResult", "WriteError", "generate_id",
 ]

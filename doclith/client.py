@@ -7,16 +7,16 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from doclith.collection import Collection, Table
-from doclith.sources.store import Files, Store
+from doclith.sources.store import Files, Storage, Store
 
 
 class Database:
-    def __init__(self, spark: SparkSession, path: str, name: str) -> None:
-        self._spark, self._path, self.name = spark, path, name
+    def __init__(self, spark: SparkSession, path: str, name: str, storage: Storage | None = None) -> None:
+        self._spark, self._path, self.name, self._storage = spark, path, name, storage
         self._tables: dict[str, Table] = {}
 
     def __getitem__(self, name: str) -> Table:
-        return self._tables.get(name) or Collection(name, Store(self._spark, f"{self._path}/{name}"))
+        return self._tables.get(name) or Collection(name, Store(self._spark, f"{self._path}/{name}", self._storage))
 
     def __getattr__(self, name: str) -> Table:
         if name.startswith("_"):
@@ -34,14 +34,21 @@ class Database:
 
 
 class Client:
-    """``client[name]`` or ``client.name`` is a database; nothing is written before a collection is."""
+    """``client[name]`` or ``client.name`` is a database; nothing is written before a collection is.
 
-    def __init__(self, spark: SparkSession, folder: str = "doclith") -> None:
-        self._spark, self._folder = spark, folder.rstrip("/")
+    How collections are kept is the argument ``storage``, or what a subclass returns as ``_storage``.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str = "doclith", storage: Storage | None = None) -> None:
+        self._spark, self._folder, self._given = spark, folder.rstrip("/"), storage or Storage()
         Files(spark, self._folder).make(self._folder)
 
+    @property
+    def _storage(self) -> Storage:
+        return self._given
+
     def __getitem__(self, name: str) -> Database:
-        return Database(self._spark, f"{self._folder}/{name}", name)
+        return Database(self._spark, f"{self._folder}/{name}", name, self._storage)
 
     def __getattr__(self, name: str) -> Database:
         if name.startswith("_"):

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from doclith.cursor import Cursor, document
 from doclith.errors import CursorNotFound, DuplicateKeyError, InvalidOperation, OperationFailure
 from doclith.operators import documents
+from doclith.plans.filters import EVERYTHING
 from doclith.results import DeleteResult, InsertManyResult, InsertOneResult, UpdateResult
+from doclith.sources.codecs import Codecs
 from doclith.sources.store import Manifest, Store
 
 
@@ -33,6 +35,7 @@ class Table:
 
     def __init__(self, name: str, df: DataFrame, sequence: str | None = None) -> None:
         self.name, self._df, self._sequence = name, df, sequence
+        self._codecs = Codecs()
 
     @property
     def df(self) -> DataFrame:
@@ -45,12 +48,12 @@ class Table:
         return self.df.count()
 
     def find(self, filter: dict | None = None, sort: Any = None, skip: int | None = None, limit: int | None = None, projection: list[str] | None = None) -> Cursor:
-        return Cursor(self.df, filter, sort, skip, limit, self._sequence, projection)
+        return Cursor(self.df, self._codecs.tree(filter), sort, skip, limit, self._sequence, projection, self._codecs)
 
     def find_one(self, filter: dict | None = None) -> dict | None:
         """The first match, or None."""
-        rows = documents.first(self.df, filter, self._sequence).take(1)
-        return document(rows[0]) if rows else None
+        rows = documents.first(self.df, self._codecs.tree(filter), self._sequence).take(1)
+        return document(rows[0], self._codecs) if rows else None
 
     def _refuse(self, *_: Any, **__: Any) -> Any:
         raise InvalidOperation("a table with a schema is read only; copy it to a collection of documents to change it")
@@ -63,7 +66,7 @@ class Collection(Table):
 
     def __init__(self, name: str, store: Store) -> None:
         super().__init__(name, None, documents.SEQUENCE)
-        self._store = store
+        self._store, self._codecs = store, store.storage.codecs
 
     @property
     def df(self) -> DataFrame:
@@ -87,7 +90,8 @@ class Collection(Table):
             if not doc.get("_id"):
                 doc["_id"] = generate_id()
         try:
-            rows = [(before.last + 1 + i, id_text(d["_id"]), json.dumps(d, allow_nan=False)) for i, d in enumerate(docs)]
+            plain = [self._codecs.plain(d) for d in docs]
+            rows = [(before.last + 1 + i, id_text(d["_id"]), json.dumps(d, allow_nan=False)) for i, d in enumerate(plain)]
         except (TypeError, ValueError) as e:
             raise OperationFailure(f"a document is not JSON: {e}") from e
         new = self._frame(rows)
@@ -122,8 +126,8 @@ class Collection(Table):
 
     def insert_frame(self, df: DataFrame, bypass_document_validation: bool = False) -> int:
         """Adds the rows of a DataFrame as documents, on the executors; returns how many. Without an ``_id`` column, or
-        where it is null, ids are made. Null fields are left out."""
-        before = self._store.manifest()
+        where it is null, ids are made. Null fields are left out. Times are kept by the codec for them, if there is one."""
+        before, df = self._store.manifest(), self._codecs.columns(df)
         made = F.regexp_replace(F.uuid(), "-", "")
         own = F.coalesce(F.col("_id").cast("string"), made) if "_id" in df.columns and dict(df.dtypes)["_id"] == "string" else F.col("_id") if "_id" in df.columns else made
         rest = [c for c in df.columns if c != "_id"]
@@ -157,12 +161,12 @@ class Collection(Table):
         return found.count(), fetch
 
     def _update(self, query: dict | None, update: dict, once: bool) -> UpdateResult:
-        fields, before = documents.changes(update), self._store.manifest()
+        query, update, before = self._codecs.tree(query), {"$set": self._codecs.plain(documents.changes(update))}, self._store.manifest()
         n, fetch = self._matched(before, query, once)
         if n:
             part = self._store.write(documents.updated(self._store.read(before), query, update, once=once))
             self._store.commit(before, [part], before.rows, before.last)
-        return UpdateResult(fetch, n, n if fields else 0)
+        return UpdateResult(fetch, n, n if update["$set"] else 0)
 
     def update_one(self, query: dict | None, doc: dict) -> UpdateResult:
         """Sets fields of the first match."""
@@ -177,9 +181,9 @@ class Collection(Table):
         return [self.update_one(query, d) for d in doc] if isinstance(doc, list) else self.update_one(query, doc)
 
     def _delete(self, query: dict | None, once: bool) -> DeleteResult:
-        before = self._store.manifest()
+        before, query = self._store.manifest(), self._codecs.tree(query)
         n, fetch = self._matched(before, query, once)
-        if n == before.rows and not once and not query:
+        if n == before.rows and not once and query == EVERYTHING:
             self._store.commit(before, [], 0, 0)
         elif n:
             part = self._store.write(documents.remaining(self._store.read(before), query, once=once))

@@ -9,17 +9,19 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from doclith.operators import documents, ordering
+from doclith.sources.codecs import Codecs
 
 
-def document(row) -> dict:
+def document(row, codecs: Codecs | None = None) -> dict:
     """A row as a dictionary."""
-    return json.loads(row[documents.TEXT]) if documents.TEXT in row.__fields__ else row.asDict(recursive=True)
+    return (codecs or Codecs()).value(json.loads(row[documents.TEXT])) if documents.TEXT in row.__fields__ else row.asDict(recursive=True)
 
 
 class Cursor:
     """``df`` is the DataFrame: filter it, join it, write it. Documents come to the driver by iteration or by index."""
 
-    def __init__(self, df: DataFrame, query: dict | None = None, sort: Any = None, skip: int | None = None, limit: int | None = None, sequence: str | None = None, projection: list[str] | None = None) -> None:
+    def __init__(self, df: DataFrame, query: dict | None = None, sort: Any = None, skip: int | None = None, limit: int | None = None, sequence: str | None = None, projection: list[str] | None = None, codecs: Codecs | None = None) -> None:
+        self._codecs = codecs
         self._sequence = sequence or (documents.SEQUENCE if documents.SEQUENCE in df.columns else None)
         self._found = documents.matching(df, query)
         self.df = documents.find(df, query, sort, skip, limit, self._sequence, projection)
@@ -53,7 +55,7 @@ class Cursor:
         return self.df if self._ordered or not self._sequence else self.df.orderBy(self._sequence)
 
     def __iter__(self) -> Iterator[dict]:
-        return (document(r) for r in self._lines().toLocalIterator())
+        return (document(r, self._codecs) for r in self._lines().toLocalIterator())
 
     def __len__(self) -> int:
         return self.count()
@@ -64,11 +66,11 @@ class Cursor:
             last = (self._found.orderBy(documents.F.desc(self._sequence)).limit(1) if self._sequence else self._found).tail(1)
             if not last:
                 raise IndexError("no document was found")
-            return document(last[0])[key]
+            return document(last[0], self._codecs)[key]
         found = self._lines().offset(key).limit(1).collect() if key >= 0 else self._lines().tail(-key)[: 1 if key + self.count() >= 0 else 0]
         if not found:
             raise IndexError("no document at that place")
-        return document(found[0])
+        return document(found[0], self._codecs)
 
     def hasNext(self) -> bool:
         """Looks one document ahead; a partition at a time comes to the driver."""
@@ -82,6 +84,6 @@ class Cursor:
         """The next document; IndexError behind the last."""
         if not self.hasNext():
             raise IndexError("no more documents")
-        return document(self._next.pop())
+        return document(self._next.pop(), self._codecs)
 
     __next__ = next

@@ -39,10 +39,12 @@ Node = Leaf | All | Some
 EVERYTHING = All(())
 
 
-def parse(query: dict | None) -> Node:
-    """The tree of a filter; None and {} match everything."""
+def parse(query: dict | Node | None) -> Node:
+    """The tree of a filter; None and {} match everything. A tree stays as it is."""
     if query is None:
         return EVERYTHING
+    if isinstance(query, Node):
+        return query
     if not isinstance(query, dict):
         raise OperationFailure(f"a filter is a dictionary, not {type(query).__name__}")
     parts = tuple(_entry(key, value) for key, value in query.items())

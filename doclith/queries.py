@@ -16,7 +16,8 @@ from pyspark.sql.window import Window
 from doclith.client import Client
 from doclith.collection import Collection, Table
 from doclith.operators import documents, ordering
-from doclith.sources.codecs import DateTimeCodec, read_lines, read_tables
+from doclith.sources.codecs import Codecs, DateTimeCodec, read_lines, read_tables
+from doclith.sources.store import Storage
 from doclith.streaming import find_stream
 
 
@@ -278,6 +279,15 @@ def _drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _said(spark, eids=sum(before.eids) + one.eid, names=names, n=db.a.count(), dropped=db.a.drop(), again=db.a.drop(), n_after=db.a.count())
 
 
+def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as documents in ORC with times by a codec, found by time."""
+    storage = Storage("orc", {"compression": "zstd"}, Codecs({"time": DateTimeCodec()}))
+    held = Client(spark, _shared(spark, "collection"), storage).main.events
+    held.insert_frame(table(spark, sf_dir, "events").select("event_id", "ts"))
+    found = held.find({"ts": {"$gte": dt.datetime(2024, 1, 8), "$not": {"$gte": dt.datetime(2024, 1, 20, 12)}}})
+    return found.df.select(F.try_variant_get("_v", "$.event_id", "long").alias("event_id"), F.try_variant_get("_v", "$.ts", "string").alias("ts"))
+
+
 SUPPLIER = "SELECT s_suppkey, {nation} AS s_nationkey, {balance} AS s_acctbal, {seen} AS seen FROM (SELECT s_suppkey, s_nationkey::BIGINT AS s_nationkey, s_acctbal FROM supplier)"
 PLAIN = {"nation": "s_nationkey", "balance": "s_acctbal", "seen": "NULL::BIGINT"}
 for _name, _change, _sql in (
@@ -290,6 +300,10 @@ for _name, _change, _sql in (
     ("collection_bypass_and_compact", lambda c: (c.insert_many([{"_id": "1", "s_suppkey": 1}], bypass_document_validation=True), c.compact()), SUPPLIER.format(**PLAIN) + " UNION ALL SELECT 1, NULL, NULL, NULL"),
 ):
     ALL[_name] = Query(_collection(_change), _sql)
+ALL["collection_storage"] = Query(
+    _times,
+    "SELECT event_id, '{time}:' || strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts FROM events WHERE ts >= TIMESTAMP '2024-01-08 00:00:00' AND date_trunc('second', ts) < TIMESTAMP '2024-01-20 12:00:00'",
+)
 ALL["collection_drop"] = Query(_drop, "SELECT 21::BIGINT AS eids, '_default,a' AS names, 6::BIGINT AS n, true AS dropped, false AS again, 0::BIGINT AS n_after")
 ALL["cursor"] = Query(
     _cursor,

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from doclith import Client, DuplicateKeyError, InvalidOperation, OperationFailure
+from doclith import Client, Codecs, ConfigurationError, DuplicateKeyError, InvalidOperation, OperationFailure, Storage
 from doclith.sources.codecs import DateTimeCodec, read_lines, read_tables
 from doclith.sources.store import Store
 
@@ -186,3 +187,57 @@ def test_compaction_and_late_results(db):
     assert db.c.find()[-1]["_id"] == 4 and db.c.find()[3]["x"] == 1
     with pytest.raises(IndexError):
         db.c.find()[-5]
+
+
+class Fractions:
+    kind, sorts = Fraction, False
+    encode = staticmethod(str)
+    decode = staticmethod(Fraction)
+
+
+def test_codecs_in_collections(spark, tmp_path):
+    storage = Storage(codecs=Codecs({"TinyDate": DateTimeCodec(), "ratio": Fractions()}))
+    c = Client(spark, str(tmp_path / "db"), storage).test.c
+    day = lambda n: dt.datetime(2024, 5, n, 6, 7, 8)
+    c.insert_many([{"_id": n, "at": day(n), "all": [day(n), {"x": day(1)}], "part": Fraction(n, 3)} for n in range(1, 9)] + [{"_id": "text", "at": "2024-05-05"}, {"_id": "z", "at": "~"}, {"_id": "k", "at": 7}])
+    found = lambda query: [d["_id"] for d in c.find(query)]
+    assert c.find_one({"_id": 3}) == {"_id": 3, "at": day(3), "all": [day(3), {"x": day(1)}], "part": Fraction(1)}
+    assert found({"at": day(4)}) == [4] == found({"all": day(4)}) and found({"at": {"$in": [day(2), "~"]}}) == [2, "z"]
+    assert found({"at": {"$gte": day(7)}}) == [7, 8] and found({"at": {"$lt": day(3)}}) == [1, 2] and found({"at": {"$gt": day(2), "$lte": day(4)}}) == [3, 4]
+    assert found({"at": {"$not": {"$gte": day(2)}}}) == [1] and found({"$or": [{"at": {"$lte": day(1)}}, {"part": Fraction(8, 3)}]}) == [1, 8]
+    assert found({"at": {"$ne": day(1)}}) == [2, 3, 4, 5, 6, 7, 8, "text", "z", "k"] and found({"all": {"$all": [day(5), {"x": day(1)}]}}) == [5]
+    with pytest.raises(OperationFailure):
+        found({"part": {"$gt": Fraction(1)}})
+    with pytest.raises(OperationFailure):
+        c.insert_one({"a": ["{ratio}:1"]})
+    assert c.update_one({"at": day(2)}, {"$set": {"at": day(9)}}).modified_count == 1 and c.find_one({"_id": 2})["at"] == day(9)
+    assert c.delete_many({"at": {"$gte": day(8)}}).deleted_count == 2 and c.count() == 9
+    cursor = c.find({"at": {"$lte": day(9)}}, sort=[("at", -1)])
+    assert cursor.next()["at"] == day(7) == cursor[0]["at"] and cursor["at"] == day(7) and [d["_id"] for d in cursor] == [7, 6, 5, 4, 3, 1]
+    assert Client(spark, str(tmp_path / "db")).test.c.find_one({"_id": 3})["part"] == "{ratio}:1"
+
+
+def test_formats_of_parts(spark, tmp_path):
+    class Own(Client):
+        @property
+        def _storage(self):
+            return Storage("orc", {"compression": "zlib"}, Codecs({"time": DateTimeCodec()}))
+
+    Client(spark, str(tmp_path / "db")).test.c.insert_one({"_id": 1, "a": "x\n\"y\u2028"})
+    held = Own(spark, str(tmp_path / "db")).test.c
+    held.insert_one({"_id": 2, "a": [1, None]})
+    held.insert_frame(spark.sql("SELECT 3 AS _id, TIMESTAMP_NTZ '2024-01-02 03:04:05.6' AS a UNION ALL SELECT 4, NULL"))
+    assert list(held.find({})) == [{"_id": 1, "a": "x\n\"y\u2028"}, {"_id": 2, "a": [1, None]}, {"_id": 3, "a": dt.datetime(2024, 1, 2, 3, 4, 5)}, {"_id": 4}]
+    assert len([p for p in held._store.manifest().parts if p.endswith(".orc")]) == 2
+    Client(spark, str(tmp_path / "db"), Storage("json")).test.c.compact()
+    assert held.count() == 4 and held.find_one({"a": 1})["_id"] == 2 and held.find_one({"a": {"$lt": dt.datetime(2025, 1, 1)}})["_id"] == 3
+
+
+def test_storage_refuses():
+    with pytest.raises(ConfigurationError):
+        Storage("csv")
+    with pytest.raises(ConfigurationError):
+        Codecs({"a": DateTimeCodec(), "b": DateTimeCodec("%Y")})
+    with pytest.raises(ConfigurationError):
+        Codecs({"a b": DateTimeCodec()})
+    assert DateTimeCodec("%Y-%m").sorts and DateTimeCodec().sorts and not DateTimeCodec("%d/%m/%Y").sorts
