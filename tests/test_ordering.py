@@ -81,3 +81,24 @@ def test_three_keys(spark):
     df = spark.createDataFrame(rows, "a long, b long, c long")
     got = [tuple(r) for r in documents.find(df, sort=[("a", 1), ("b", -1), ("c", 1)]).collect()]
     assert got == sorted(rows, key=lambda r: (r[0], -r[1], r[2]))
+
+
+def _value(draw: random.Random, depth: int = 0):
+    kind = draw.randrange(12 if depth < 2 else 8)
+    if kind < 8:
+        big = draw.choice([2**53, 2**53 + 1, 2**53 + 2, -(2**60) - 1, -(2**60), 10**45, 10**45 + 1])
+        return (None, draw.randrange(-3, 4), draw.choice([0.5, -0.0, 1e30, 2.0]), draw.choice(["", "a", "ab", "a\x00", "ü", "\U0001f600", "\uffff"]), True, False, big, draw.randrange(-3, 4) / 2)[kind]
+    if kind < 10:
+        return [_value(draw, depth + 1) for _ in range(draw.randrange(4))]
+    return {name: _value(draw, depth + 1) for name in draw.sample(["b", "c"], draw.randrange(3))}
+
+
+@pytest.mark.parametrize("path", ["x", "x.b", "x.b.c"])
+@pytest.mark.parametrize("way", [1, -1])
+def test_keys_against_plain_python(spark, path, way):
+    draw = random.Random(f"{path}{way}")
+    docs = [{"x": _value(draw)} if draw.random() < 0.9 else {} for _ in range(700)]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "_seq long, _doc string").repartition(3).withColumn("_v", F.parse_json("_doc"))
+    got = [r["_seq"] for r in documents.find(df, sort=[(path, way)]).collect()]
+    key = lambda i: ordering.sort_key(ordering.lookup(docs[i], tuple(path.split(".")), way), way)
+    assert got == sorted(range(len(docs)), key=key, reverse=way == -1) if way == 1 else [key(i) for i in got] == sorted(map(key, range(len(docs))), reverse=True)
