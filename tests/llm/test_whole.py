@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import textwrap
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,32 @@ def test_words_outside_the_vocabulary_are_scored_by_their_count(spark):
     assert abs(gain(100, 101) - np.log(271 / 31)) < 1e-4 and abs(gain(101, 102) - np.log(31)) < 1e-4 and abs(gain(102, 103) - np.log(2)) < 1e-4
 
 
+def test_network_steps_against_plain_softmax_and_in_little_memory():
+    chance = np.random.default_rng(1)
+    (_, _, w), = tokens.chunks(pa.array([" ".join(f"w{j}" for j in chance.integers(0, 300, 9000))]), letters=True)
+    found, counts = np.unique(w.hashes, return_counts=True)
+    known = pseudo_likelihood.vocabulary(found, counts.astype(float), len(w.hashes), len(found))
+    network = pseudo_likelihood.Network.new(known)
+    ids, at, _ = pseudo_likelihood._padded(w, known)
+    tracemalloc.start()
+    got = pseudo_likelihood.log_probabilities(network, known, w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 << 20  # the chances of all positions and classes alone are 4.6 MB
+    embeddings, places, vectors, biases = (x.astype(float) for x in network.parts())
+    hidden = np.tanh(sum(embeddings[ids[at + j]] * places[i] for i, j in enumerate(pseudo_likelihood.PLACES)))
+    chances = np.exp(hidden @ vectors.T + biases)
+    chances /= chances.sum(1, keepdims=True)
+    right = known.classes[ids[at]]
+    assert np.allclose(got, np.log(chances[np.arange(len(at)), right]) + known.shares[ids[at]], atol=1e-4)
+    trainer, first = pseudo_likelihood.Trainer(network), at[: pseudo_likelihood.BATCH]
+    trainer.learn(ids, first, known.classes)
+    error = chances[: len(first)] - np.eye(pseudo_likelihood.CLASSES)[right[: len(first)]]
+    for mine, old, gradient in ((2, vectors, error.T @ hidden[: len(first)] / len(first)), (3, biases, error.mean(0))):
+        want = old - pseudo_likelihood.RATE * gradient / np.sqrt(0.1 + gradient * gradient)
+        assert np.allclose(trainer.network.parts()[mine], want, atol=1e-5)
+
+
 def test_training_covers_every_position_once(monkeypatch):
     texts = ["one", "", *(" ".join(f"w{j}" for j in range(n)) for n in (2, 7, 500, 3000))]
     (_, _, w), = tokens.chunks(pa.array(texts), letters=True)
