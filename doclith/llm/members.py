@@ -7,7 +7,7 @@ fixed size. A full set lets everything pass: then the join alone does the work.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ def may_hold(words: np.ndarray, numbers: np.ndarray) -> np.ndarray:
 
 def column(name: str, words: np.ndarray) -> Column:
     """Whether the column's number can be in the set. Only that column goes through Python."""
-    return F.pandas_udf(lambda x: pd.Series(may_hold(words, x.to_numpy(np.int64))), "boolean")(F.col(name))
+    return F.arrow_udf(lambda x: pa.array(may_hold(words, x.to_numpy())), "boolean")(F.col(name))
 
 
 def filtered(df: DataFrame, name: str, words: np.ndarray) -> DataFrame:

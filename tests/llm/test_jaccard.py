@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import subprocess
 import sys
 from pathlib import Path
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import plain  # noqa: E402
 
-from doclith.llm import jaccard  # noqa: E402
+from doclith.llm import jaccard, members, shared  # noqa: E402
 
 
 def test_sketches_never_overstate_the_distance(spark):
@@ -73,3 +74,17 @@ def test_hot_groups(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(df, k=k, percent=percent).collect()}
         assert got == plain.components(rows, k, percent)
+
+
+def test_memory_of_executors(spark, tmp_path):
+    """Workers that look numbers up load no pandas; a task that writes a table holds a small row group, not all it writes."""
+    import pyarrow.parquet as pq
+
+    code = "import sys; import doclith.llm.jaccard; assert 'pandas' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[2])
+    rows = spark.range(0, 6_000_000, 1, 1).select(F.xxhash64("id").alias("a"))
+    some = rows.where("a % 1000 = 0")
+    assert members.filtered(rows, "a", members.collect(some, "a")).where("a % 1000 = 0").count() == some.count()
+    shared._write(rows, str(tmp_path / "t"))
+    groups = [pq.ParquetFile(f).metadata for f in (tmp_path / "t").glob("*.parquet")]
+    assert max(m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)) < 2 * shared.GROUP_BYTES < sum(m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups))
