@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from doclith.llm import members
 from doclith.llm.components import components
-from doclith.llm.shared import Drafts, cut, keep
+from doclith.llm.shared import Drafts, keep
 from doclith.llm.text import packed
 from doclith.llm.tokens import U, Words, chunks, lists, mix
 
@@ -280,8 +280,8 @@ def _links(entries: DataFrame, sets: DataFrame, percent: int, drafts: Drafts) ->
         more = drafts.keep(_verified(likely, sets, percent), "jaccard-links")
         found = more if found is None else found.union(more)
         if turn < PIVOT_ROUNDS and not more.isEmpty():
-            label = components(found).select(F.col("node").alias("_node"), F.col("component").alias("_label"))
-            apart = cut(entries.join(label, F.col("node") == F.col("_node"), "left").select("token", "node", "n", "pos", F.coalesce("_label", "node").alias("label")))
+            label = components(found, drafts.keep).select(F.col("node").alias("_node"), F.col("component").alias("_label"))
+            apart = drafts.keep(entries.join(label, F.col("node") == F.col("_node"), "left").select("token", "node", "n", "pos", F.coalesce("_label", "node").alias("label")), "jaccard-apart")
     return found
 
 
@@ -346,7 +346,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3
     asked = kinds.join(entries.select(F.col("node").alias("_node")), F.col("node") == F.col("_node"), "left_semi")
     wholes = second.keep(plain.mapInArrow(_whole_sets(k, members.collect(asked, "a"), repeated, twins), "node long, n int, repeated boolean, mark array<long>, sketch array<long>, shingles array<long>"), "jaccard-wholes")
     sets = wholes.where("NOT repeated").unionByName(second.keep(wholes.where("repeated").dropDuplicates(["node"]), "jaccard-repeated"))
-    label = keep(components(_links(entries, sets, percent, second)).select(F.col("node").alias("_node"), "component"), "jaccard-components")
+    label = components(_links(entries, sets, percent, second)).select(F.col("node").alias("_node"), "component")
     second.remove()
     named = kinds.join(label, F.col("node") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "node"))
     kept = named.groupBy("component").agg(least.alias("_m")).select("component", F.col("_m.key").alias("component_id"), F.col("_m.a").alias("kept_a"), F.col("_m.b").alias("kept_b"))
