@@ -30,6 +30,7 @@ is a chunk of its own, and its sketch grows with it; further columns do not matt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from mmap import mmap
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ from doclith.llm.tokens import U, Words, chunks, lists, mix
 
 WORD_BITS, SHINGLE_BITS = 17, 18
 BLOCK = 1 << 21  # shingles in which repeated ones are found at once
+STEP = 1 << 14  # of a block's shingles, or of sections, that are looked at or sent at once
 MARK_WORDS = 8  # of the parities that go with the entries of the last round: 512 sections
 PIVOT_ROUNDS = 2
 TOKEN_BITS = 24  # of the set of shared tokens: 2 MB
@@ -112,24 +114,36 @@ class _Frequencies:
 
     def __init__(self) -> None:
         self.seen = np.zeros((1 << WORD_BITS) + (1 << SHINGLE_BITS), np.int64)
-        self.block: list[np.ndarray] = []
+        # The one array of a block's size: it is filled, sorted and read in place, and mapped, so that it goes with the task.
+        self.block, self.held = np.frombuffer(mmap(-1, 8 * BLOCK), U), 0
 
     def add(self, words: np.ndarray, grams: np.ndarray) -> None:
         self.seen[: 1 << WORD_BITS] += np.bincount(_section(words, WORD_BITS), minlength=1 << WORD_BITS)
-        self.block.append(grams)
-        if sum(map(len, self.block)) >= BLOCK:
-            self.close()
+        while len(grams):
+            taken = grams[: BLOCK - self.held]
+            self.block[self.held : self.held + len(taken)] = taken
+            self.held += len(taken)
+            grams = grams[len(taken) :]
+            if self.held == BLOCK:
+                self.close()
 
     def close(self) -> None:
-        grams = np.concatenate(self.block) if self.block else np.zeros(0, U)
-        self.block = []  # before the sort: the copy is enough
+        grams, self.held = self.block[: self.held], 0
         grams.sort()
-        same = grams[1:] == grams[:-1]
         again = np.zeros(len(grams), bool)
-        again[1:] |= same
-        again[:-1] |= same
-        sections, times = np.unique(_section(grams[again], SHINGLE_BITS), return_counts=True)
-        self.seen[sections + (1 << WORD_BITS)] += times
+        again[1:] = grams[1:] == grams[:-1]
+        again[:-1] |= again[1:]  # the first of equal ones too
+        for a in range(0, len(grams), STEP):
+            sections, times = np.unique(_section(grams[a : a + STEP][again[a : a + STEP]], SHINGLE_BITS), return_counts=True)
+            self.seen[sections + (1 << WORD_BITS)] += times
+
+    def batches(self, kind: pa.DataType, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """Rows (section, n), few at once: Spark holds a batch outside its heap, and what large ones leave there stays."""
+        used = np.flatnonzero(self.seen)
+        for a in range(0, len(used), STEP):
+            part = used[a : a + STEP]
+            none = pa.nulls(len(part), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), kind), none, none, pa.array(self.seen[part]), none, none, pa.array(part.astype(np.int32))], names)
 
 
 def _describe(k: int):
@@ -146,9 +160,7 @@ def _describe(k: int):
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(x, y - x) for i in (0, 2, 3)), pa.array(np.diff(bounds)), _long(s1), _long(s2), pa.nulls(y - x, pa.int32())], names)
         if kind is not None:
             counts.close()
-            used = np.flatnonzero(counts.seen)
-            none = pa.nulls(len(used), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), kind), none, none, pa.array(counts.seen[used]), none, none, pa.array(used.astype(np.int32))], names)
+            yield from counts.batches(kind, names)
 
     return run
 

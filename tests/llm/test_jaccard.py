@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 import subprocess
 import sys
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -88,3 +90,36 @@ def test_memory_of_executors(spark, tmp_path):
     shared._write(rows, str(tmp_path / "t"))
     groups = [pq.ParquetFile(f).metadata for f in (tmp_path / "t").glob("*.parquet")]
     assert max(m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)) < 2 * shared.GROUP_BYTES < sum(m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups))
+
+
+def test_sections_are_sent_few_at_once():
+    """All words are counted, and no batch is large, however many sections are used."""
+    n = 200_000
+    text = pa.array([" ".join(f"w{i}" for i in range(a, a + 1000)) for a in range(0, n, 1000)])
+    ids = pa.array(range(len(text)), pa.int64())
+    batches = list(jaccard._describe(3)(iter([pa.RecordBatch.from_arrays([ids, text, ids, ids], ["key", "text", "a", "b"])])))
+    rows = pa.Table.from_batches(batches)
+    section = rows["section"].to_numpy()
+    assert rows["n"].to_numpy()[section < 1 << jaccard.WORD_BITS].sum() == n
+    assert rows["n"].to_numpy()[np.isnan(section.astype(float))].sum() == n - 2 * len(text)
+    assert max(b.nbytes for b in batches) < 1 << 20 and (section >= 0).sum() > 100_000
+
+
+def test_a_block_is_held_once():
+    """Shingles repeated within a block are counted as plainly, in little more than the block's own memory."""
+    chance = np.random.default_rng(5)
+    grams = chance.integers(0, 1 << 63, jaccard.BLOCK, dtype=np.uint64) * np.uint64(2)
+    grams[jaccard.BLOCK // 2 :] = grams[: jaccard.BLOCK // 2]
+    rest = chance.integers(0, 1 << 63, 1000, dtype=np.uint64)
+    rest[:10] = rest[10]
+    tracemalloc.start()
+    counts = jaccard._Frequencies()
+    for a in range(0, len(grams), 1 << 16):
+        counts.add(grams[:0], grams[a : a + (1 << 16)])
+    counts.add(grams[:0], rest)
+    counts.close()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.bincount((np.concatenate([grams, rest[:11]]) >> np.uint64(64 - jaccard.SHINGLE_BITS)).astype(int), minlength=1 << jaccard.SHINGLE_BITS)
+    assert (counts.seen[1 << jaccard.WORD_BITS :] == want).all()
+    assert peak < 16 << 20  # the block has 16 MB
