@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ BATCH = 1024  # positions a training step
 RATE = 0.1
 UNSEEN = 0.5  # the count of words that the corpus has not
 SEED = 11
+LEAD_BITS = 17  # of a word's hash, by which it is looked up
 HASH_BITS = 60  # of a word, leading ones, by which equally frequent words are chosen
 PLACES = [j for j in range(-WINDOW, WINDOW + 1) if j]
 
@@ -60,8 +62,22 @@ class Vocabulary:
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int32)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at + 1, 0).astype(np.int32)
+        lead = (hashes >> U(64 - LEAD_BITS)).astype(np.int64)
+        at, end, out = self._first[lead], self._first[lead + 1], np.zeros(len(hashes), np.int32)
+        left = np.flatnonzero(at < end)
+        while len(left):  # the first of the known words with these leading bits, then the second one, and so on
+            here = at[left]
+            same = self.hashes[here] == hashes[left]
+            out[left[same]] = here[same] + 1
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+    @cached_property
+    def _first(self) -> np.ndarray:
+        """Of each value of the leading bits the first known word that has it or a higher one."""
+        return np.searchsorted(self.hashes >> U(64 - LEAD_BITS), np.arange((1 << LEAD_BITS) + 1, dtype=U)).astype(np.int32)
 
 
 def vocabulary(hashes: np.ndarray, counts: np.ndarray, all_words: int, all_kinds: int) -> Vocabulary:
@@ -134,7 +150,11 @@ def _forward(parts: tuple, ids: np.ndarray, at: np.ndarray, room: np.ndarray) ->
 
 def log_probabilities(network: Network, known: Vocabulary, w: Words) -> np.ndarray:
     """Of each word given the words around it; other words as if each kind had their mean count."""
-    ids, at, _ = _padded(w, known)
+    return _scored(network, known, *_padded(w, known)[:2])
+
+
+def _scored(network: Network, known: Vocabulary, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same, of the words at these places of padded ids."""
     out, parts, room, ones = np.empty(len(at), np.float32), network.parts(), np.empty((BLOCK, CLASSES), np.float32), np.ones(CLASSES, np.float32)
     for a in range(0, len(at), BLOCK):
         here = at[a : a + BLOCK]
@@ -149,6 +169,26 @@ def _order(ids: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(ids.astype(np.uint16), kind="stable") if n <= 1 << 16 else np.argsort(ids)
 
 
+def _by_word(ids: np.ndarray, changes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of changes for ids below n: each id but the last, the padding, which stays 0; the sum of its changes by the root of
+    their number; this number. Most ids are there once: only others need sums, and come first."""
+    order = _order(ids, n)
+    ids = ids[order]
+    behind = np.searchsorted(ids, n - 1)
+    ids, order = ids[:behind], order[:behind]
+    first = np.flatnonzero(np.diff(ids, prepend=-1))
+    times = np.diff(first, append=behind)
+    often = times > 1
+    many = times[often]
+    out = np.empty((len(first), WIDTH), np.float32)
+    if len(many):
+        np.add.reduceat(changes.take(order[np.repeat(often, times)], 0), np.cumsum(many) - many, axis=0, out=out[: len(many)])
+        out[: len(many)] /= np.sqrt(many[:, None], dtype=np.float32)
+    once = first[~often]
+    changes.take(order[once], 0, out=out[len(many) :], mode="clip")
+    return np.concatenate([ids[first[often]], ids[once]]), out, np.concatenate([many, times[~often]])
+
+
 class Trainer:
     """Adagrad on one partition; counts how often each row was trained."""
 
@@ -163,6 +203,16 @@ class Trainer:
         self.network.rows[rows] -= RATE * gradient / np.sqrt(squares)
         self.times[rows] += times
 
+    def _step_each(self, rows: np.ndarray, gradient: np.ndarray, times: np.ndarray) -> None:
+        """The same for single rows, none twice; the gradient is overwritten."""
+        squares = self.squares.take(rows, 0)
+        squares += gradient * gradient
+        self.squares[rows] = squares
+        gradient *= RATE
+        gradient /= np.sqrt(squares, out=squares)
+        self.network.rows[rows] = np.subtract(self.network.rows.take(rows, 0), gradient, out=gradient)
+        self.times[rows] += times
+
     def learn(self, ids: np.ndarray, at: np.ndarray, classes: np.ndarray) -> None:
         parts = self.network.parts()
         embeddings, places, vectors, _ = parts
@@ -179,19 +229,12 @@ class Trainer:
             by_class = error.T @ (hidden * (part / np.float32(len(here))))
             change = changes[:, : len(here)]
             np.multiply(back, places[:, None], out=change)
-            change = change.reshape(-1, WIDTH)
-            flat = near.reshape(-1)
-            order = _order(flat, n)
-            flat = flat[order]
-            first = np.flatnonzero(np.diff(flat, prepend=-1))
-            used, times = flat[first], np.diff(first, append=len(flat))
-            by_word = np.add.reduceat(change.take(order, 0), first, axis=0)
+            used, by_word, times = _by_word(near.reshape(-1), change.reshape(-1, WIDTH), n)
             by_place = np.stack([np.einsum("ij,ij->j", back, x) for x in around]) / np.float32(len(here))
             self._step(slice(n + m, n + m + CLASSES), by_class[:, :WIDTH], len(here))
             self._step(slice(n + m + CLASSES, None), by_class[:, WIDTH].reshape(-1, WIDTH), len(here))
             self._step(slice(n, n + m), by_place, len(here))
-            keep = used < n - 1  # the padding stays 0
-            self._step(used[keep], by_word[keep] / np.sqrt(times[keep, None], dtype=np.float32), times[keep])
+            self._step_each(used, by_word, times)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,8 +314,9 @@ def _score(network: Network, known: Vocabulary):
         for batch in batches:
             for a, b, w in chunks(batch.column(1), letters=True):
                 n = np.diff(w.bounds)
-                total = np.bincount(np.repeat(np.arange(len(n)), n), weights=log_probabilities(network, known, w), minlength=len(n))
-                others = np.flatnonzero(known.ids(w.hashes) == 0)
+                ids, at, text = _padded(w, known)
+                total = np.bincount(text, weights=_scored(network, known, ids, at), minlength=len(n))
+                others = np.flatnonzero(ids[at] == 0)
                 found = lists(w.hashes[others], np.searchsorted(others, w.bounds))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(total), found], ["key", "n", "total", "others"])
 

@@ -326,6 +326,34 @@ def test_network_gradient():
     assert pseudo_likelihood.log_probabilities(trainer.network, known, w).sum() > before / 2
 
 
+def test_words_are_looked_up_once(monkeypatch):
+    """Scoring looks each word up once; known words are found whatever leading bits they share, and no others."""
+    import pyarrow as pa
+
+    chance = np.random.default_rng(4)
+    hashes = np.unique(np.concatenate([chance.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2), np.arange(50, dtype=np.uint64) + np.uint64(1 << 63), [np.uint64(0), ~np.uint64(0)]]))
+    known = pseudo_likelihood.vocabulary(hashes, np.ones(len(hashes)), len(hashes), len(hashes))
+    asked = np.concatenate([hashes, hashes + np.uint64(1), chance.permutation(hashes)])
+    at = np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)
+    assert (known.ids(asked) == np.where(hashes[at] == asked, at + 1, 0)).all()
+    lookups, ids = [], pseudo_likelihood.Vocabulary.ids
+    monkeypatch.setattr(pseudo_likelihood.Vocabulary, "ids", lambda self, h: lookups.append(len(h)) or ids(self, h))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c", "d"])], ["key", "text"])
+    (out,) = pseudo_likelihood._score(pseudo_likelihood.Network.new(known), known)(iter([batch]))
+    assert lookups == [4] and [len(x) for x in out.column(3).to_pylist()] == [3, 1]
+
+
+def test_changes_by_word():
+    """Sums by id over the root of their number, without the padding; the same for ids that are there once or often."""
+    chance = np.random.default_rng(6)
+    for ids, n in ((chance.integers(0, 40, 500), 41), (chance.permutation(300), 300), (np.full(9, 7), 8), (np.full(9, 3), 8), (chance.integers(0, 90_000, 4000), 90_001)):
+        changes = chance.normal(size=(len(ids), pseudo_likelihood.WIDTH)).astype(np.float32)
+        used, sums, times = pseudo_likelihood._by_word(ids.astype(np.int32), changes, n)
+        assert sorted(used.tolist()) == sorted({*ids.tolist()} - {n - 1})
+        for i, got, many in zip(used, sums, times, strict=True):
+            assert many == (ids == i).sum() and np.allclose(got, changes[ids == i].sum(0) / np.sqrt(many), atol=1e-5)
+
+
 OPERATORS = {
     "quality_rules": lambda df, spark: quality_rules.judge(df),
     "passing": lambda df, spark: quality_rules.passing(df),
