@@ -102,3 +102,22 @@ def test_keys_against_plain_python(spark, path, way):
     got = [r["_seq"] for r in documents.find(df, sort=[(path, way)]).collect()]
     key = lambda i: ordering.sort_key(ordering.lookup(docs[i], tuple(path.split(".")), way), way)
     assert got == sorted(range(len(docs)), key=key, reverse=way == -1) if way == 1 else [key(i) for i in got] == sorted(map(key, range(len(docs))), reverse=True)
+
+
+@pytest.mark.parametrize("n", [0, 1, 3000])
+def test_places(spark, tmp_path, n):
+    """Of all rows, over several ranges, where nearly all have the same first key, and some none."""
+    draw = random.Random(n)
+    rows = [(i, draw.choice([None, 1.5, -0.5, *[7.0] * 40])) for i in range(n)]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "n long, x double").repartition(3)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = ordering.placed(df, [F.col("x").desc_nulls_last(), F.col("n").asc()], ["n"], f"{tmp_path}/places")
+        got = sorted((r["pos"], r["n"]) for r in placed.collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0.0), r[0]))
+    assert got == [(i + 1, r[0]) for i, r in enumerate(want)]
+    assert dict(placed.dtypes) == {"n": "bigint", "pos": "int"}
