@@ -121,3 +121,13 @@ def test_places(spark, tmp_path, n):
     want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0.0), r[0]))
     assert got == [(i + 1, r[0]) for i, r in enumerate(want)]
     assert dict(placed.dtypes) == {"n": "bigint", "pos": "int"}
+
+
+def test_places_of_documents(spark, tmp_path):
+    draw = random.Random(5)
+    docs = [{"x": _value(draw), "y": draw.choice([1, "a", None])} for _ in range(500)]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "_seq long, _doc string").repartition(3).withColumn("_v", F.parse_json("_doc"))
+    placed = ordering.placed_documents(df, [("y", -1), ("x", 1)], f"{tmp_path}/places")
+    want = [r["_seq"] for r in documents.find(df, sort=[("y", -1), ("x", 1)]).collect()]
+    assert sorted((r["pos"], r["_seq"]) for r in placed.collect()) == list(enumerate(want, 1))
+    assert not (tmp_path / "places" / "keys").exists()
