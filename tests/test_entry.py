@@ -35,7 +35,7 @@ def test_against_duckdb(spark, duck, name):
     assert sorted(map(repr, (tuple(r[c] for c in names) for r in got.collect()))) == sorted(map(repr, want))
 
 
-@pytest.mark.parametrize("name", ["sort_three", "sort_mixed", "sort_mixed_down", "sort_one"])
+@pytest.mark.parametrize("name", ["sort_three", "sort_mixed", "sort_mixed_down", "sort_one", "sort_two", "sort_array_up", "sort_array_down"])
 def test_no_task_sorts_the_table(spark, name):
     held = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in held}
