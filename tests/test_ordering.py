@@ -131,3 +131,22 @@ def test_places_of_documents(spark, tmp_path):
     want = [r["_seq"] for r in documents.find(df, sort=[("y", -1), ("x", 1)]).collect()]
     assert sorted((r["pos"], r["_seq"]) for r in placed.collect()) == list(enumerate(want, 1))
     assert not (tmp_path / "places" / "keys").exists()
+
+
+@pytest.mark.parametrize("way", [1, -1])
+def test_places_by_arrays_move_no_array(spark, tmp_path, way):
+    draw = random.Random(way)
+    rows = [(i, draw.choice([None, [], [None, 2], [None]]) if i % 5 == 0 else [draw.randrange(9) for _ in range(200)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "n long, a array<long>").repartition(3)
+    store, group = spark.sparkContext._jsc.sc().statusStore(), f"arrays-{way}"
+    df.write.parquet(f"{tmp_path}/in")
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        placed = ordering.placed_rows(spark.read.parquet(f"{tmp_path}/in"), [("a", way), ("n", 1)], ["n"], f"{tmp_path}/places")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    want = [r["n"] for r in documents.find(df, sort=[("a", way)], sequence="n").collect()]
+    assert sorted((r["pos"], r["n"]) for r in placed.collect()) == list(enumerate(want, 1))
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)}
+    assert 0 < sum(store.stageAttempt(s, 0, False, None, False, None)._1().shuffleWriteBytes() for s in stages) < 40 * len(rows)
